@@ -148,3 +148,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def struct_of(spec: str) -> T.StructType:
     return T.StructType.fromDDL(spec)
+
+
+def arrow_bytes(col) -> tuple[np.ndarray, np.ndarray]:
+    """joined_bytes() of an Arrow string column, without a copy where there are no nulls."""
+    import pyarrow as pa
+
+    col = col.cast(pa.binary()).cast(pa.large_binary())
+    if col.null_count:
+        col = col.fill_null(b"")
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if len(col) and col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that go to Python at once; whole texts make 10,000 rows too many for a small executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Bytes of text that one numpy pass holds.
+SLICE = 2_000_000

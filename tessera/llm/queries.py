@@ -10,6 +10,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark))))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """The classifier, from the labels that are not held out."""
+    from . import toxicity
+
+    return toxicity.train(docs, labels.filter(~toxicity.held_out("doc_id")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -29,6 +50,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op7_mix": op7_mix,
     "op9_shards": op9_shards,
     "op10_topk": op10_topk,
