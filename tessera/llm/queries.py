@@ -31,6 +31,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The vocabulary file of the queries; a parameter of the operator.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    found = pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(MODEL_PATH), check=True)
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "same", "ids")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -52,6 +63,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op6_pieces": op6_pieces,
     "op7_mix": op7_mix,
     "op9_shards": op9_shards,
     "op10_topk": op10_topk,
