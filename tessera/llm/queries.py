@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import through_archives
+
+    return through_archives(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -61,6 +67,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_pieces": op6_pieces,
@@ -70,6 +77,16 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first, count(*) over (partition by h) as n from p)
+select page_id, strlen(html)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::int, 1)), '') as payload_digest,
+  case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from f
+""",
     "op7_mix": r"""
 with sized as (
   select doc_id, case when source is null then 'b' else 'a' || source end as k,
