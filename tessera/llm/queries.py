@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import through_archives
 
@@ -67,6 +73,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_nearest": op2_nearest,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
