@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -73,6 +79,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_nearest": op2_nearest,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
@@ -84,6 +91,21 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_duplicates": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then []
+    when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) end as ss from w),
+x as (select doc_id, unnest(ss) as sh from s),
+n as (select doc_id, len(ss)::bigint as n from s),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as m from x a join x b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * m >= 85 * (na.n + nb.n - m)),
+r as (select doc_id as a, doc_id as b from n union select r.a, e.b from r join e on r.b = e.a)
+select n.doc_id, n.n as n_shingles, min(r.b) as component_id, n.doc_id = min(r.b) as kept
+from n join r on r.a = n.doc_id group by n.doc_id, n.n
+""",
     "op3_warc": r"""
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
 f as (select *, min(page_id) over (partition by h) as first, count(*) over (partition by h) as n from p)
