@@ -16,9 +16,9 @@ from .common import SLICE, arrow_bytes, bounded_batches, in_slices, mix64, writt
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 19
 #: The classifier is fitted to at most so many labelled rows (those with the smallest hash of their id) and features.
-MOST_ROWS, MOST_FEATURES = 30_000, 20_000
-#: Least z value of a log-count ratio, least documents with the n-gram, and smoothing.
-LEAST_Z, LEAST_DOCS, SMOOTHING = 4.0, 5, 1.0
+MOST_ROWS, MOST_FEATURES = 20_000, 10_000
+#: Least size and z value of a log-count ratio, least documents with the n-gram, and smoothing.
+LEAST_RATIO, LEAST_Z, LEAST_DOCS, SMOOTHING = 1.0, 4.0, 5, 1.0
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ratio = F.log(a / (total["toxic"] + 2 * SMOOTHING)) - F.log(b / (total["clean"] + 2 * SMOOTHING))
     z = F.abs(ratio) / F.sqrt(1 / a + 1 / b)
     best = counted.filter((F.col("bucket") >= 0) & (F.col("toxic") + F.col("clean") >= LEAST_DOCS)).select("bucket", ratio.alias("ratio"), z.alias("z"))
-    best = best.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES).toPandas()
+    best = best.filter((F.col("z") >= LEAST_Z) & (F.abs("ratio") >= LEAST_RATIO)).orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES).toPandas()
     place[best["bucket"]] = np.arange(len(best), dtype=np.int32)
     scale = np.append(best["ratio"].to_numpy(float), 0.0)
     shared = spark.sparkContext.broadcast(place)
@@ -136,12 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 found += np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, hi - lo)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "features"])
 
-    got = rows.mapInArrow(features, "label int, features array<int>").collect()
-    got.sort(key=lambda r: (r["label"], r["features"]))  # the order of rows must not matter
-    y = np.array([r["label"] for r in got], float)
-    sizes = [len(r["features"]) for r in got]
-    doc = np.repeat(np.arange(len(got)), sizes)
-    feature = np.concatenate([np.asarray(r["features"], np.int64) for r in got]) if got else np.zeros(0, np.int64)
+    got = rows.mapInArrow(features, "label int, features array<int>").toArrow().combine_chunks()
+    y, lists = got.column("label").to_numpy().astype(float), got.column("features").combine_chunks()
+    feature = lists.flatten().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy().astype(np.int64))
     weight, bias = _regression(doc, feature, y, scale)
     return Classifier(place, weight, bias)
 
