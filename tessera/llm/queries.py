@@ -66,6 +66,12 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.digest(suffix.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_plan
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_pieces": op6_pieces,
     "op7_mix": op7_mix,
+    "op8_repeats": op8_repeats,
     "op9_shards": op9_shards,
     "op10_topk": op10_topk,
 }
