@@ -7,26 +7,31 @@ class from the start. Documents that share a key form a group; its members are c
 No link may be lost in a group of which some members are not linked with the centre c. If |x & c| is too small for x to
 be linked with c, then each y linked with x shares with x shingles that c lacks, or is smaller than c by so much that
 x & c alone makes the link (which needs |x & c| >= 0.85 |x|). So members meet again in smaller groups, by centre and
-shingle that the centre lacks (the first few in hash order, by the number that must be shared), and by centre alone for
-the few of the other kind. This repeats until no group is left; all groups' work is linear in their rows.
+shingle that the centre lacks (the first few in hash order, by the number that must be shared, or sketches of all that it
+lacks), and by centre alone for the few of the other kind. Groups that are small then are compared pair by pair; those
+that are not, as in families of thousands of copies of a text that is not among them, by products of blocks in bounded
+memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, arrow_bytes, bounded_batches, in_slices, mix64, words_of, written
+from .common import arrow_bytes, bounded_batches, in_slices, mix64, words_of, written
 
 #: Sketches of each collection, and minhashes of a sketch: a pair at similarity 0.85 meets in some table with
 #: probability (1 - (1 - 0.85 ** R) ** M) ** 2 = 0.999, one at 0.9 with 0.9999.
 M, R = 8, 3
 WORDS = 5
+#: Bytes of text in one numpy pass; a pass takes some hundred bytes of memory for each.
+SLICE = 500_000
 #: Link if 100 * |x & y| >= PERCENT * |x | y|.
 PERCENT = 85
-#: Later groups of at most so many members are compared pair by pair.
-SMALL = 16
+#: Groups around a centre of at most so many members are compared pair by pair; larger ones in blocks of about BLOCK.
+SMALL, BLOCK = 64, 384
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
@@ -147,21 +152,58 @@ def _unpacked(raw: np.ndarray) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.int64)
 
 
+#: Bits of the filter that keeps sets of documents without a partner from being stored: BITS_EACH a document that has
+#: one, MOST_BITS (16 MB) at most, which bounds its broadcast. Beyond, more sets are stored than needed; none is missed.
+BITS_EACH, MOST_BITS = 16, 2**27
+
+
+def _filter_bits(nodes: DataFrame) -> np.ndarray:
+    """A bit array with the bits of all nodes set, as 64-bit words."""
+    bits = min(MOST_BITS, max(2**16, 2 ** int(np.ceil(np.log2(max(1, nodes.count()) * BITS_EACH)))))
+    bit = F.pmod(F.xxhash64("node"), F.lit(bits))
+    words = nodes.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # MOST_BITS / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
 def stored_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """(x, xs): the sets of the documents whose key is in nodes (node)."""
-    some = docs.select(F.col(key).cast("long").alias("x"), F.col(text).cast("string").alias("_text")).join(nodes.select(F.col("node").alias("x")), "x", "left_semi")
+    """(x, xs): the sets of the documents whose key is in nodes (node), and of few others; texts are not shuffled."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_filter_bits(nodes))
+    rows = docs.select(F.col(key).cast("long").alias("x"), F.col(text).cast("string").alias("_text")).filter("x is not null")
+    rows = rows.withColumn("h", F.xxhash64("x"))
 
     def run(batches):
         import pyarrow as pa
 
+        bits = shared.value
         for b in batches:
+            h = b.column(2).to_numpy().astype(np.int64) & (len(bits) * 64 - 1)
+            b = b.filter(pa.array((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
             data, offsets = arrow_bytes(b.column(1))
             packed = []
             for lo, hi in in_slices(np.diff(offsets).tolist(), SLICE):
                 packed += [_packed(s) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["x", "xs"])
 
-    return some.mapInArrow(run, "x long, xs binary")
+    return rows.mapInArrow(run, "x long, xs binary")
+
+
+def _meeting_keys(rest: np.ndarray, shared: int) -> np.ndarray:
+    """Keys under which two members meet that share `shared` or more of the shingles that their centre lacks.
+
+    If few need be shared: the first shingles in hash order, so many that one must be common. If most must be, the
+    rests are similar sets: their sketches. In between both, as the other member may be on either side.
+    """
+    keys = [rest[: max(0, len(rest) - shared + 1)]] if 3 * shared <= 2 * len(rest) else []
+    if 3 * shared >= len(rest) > 0:
+        with np.errstate(over="ignore"):
+            least = ((rest.astype(np.uint64)[:, None] ^ _XOR) * _TIMES).min(axis=0).reshape(2 * M, R)
+            sketch = mix64(mix64(least + np.arange(R, dtype=np.uint64)).sum(axis=1) + np.arange(2 * M, dtype=np.uint64))
+        keys.append(sketch.view(np.int64))
+    return np.concatenate(keys) if keys else rest[:0]
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,9 +229,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 size.append(len(x))
                 room.append((100 * m) // PERCENT + m - len(x) if not link and 100 * m >= PERCENT * len(x) else None)
                 if more[i]:
-                    rest = x[~held]
-                    shared = max(1, -(-PERCENT * len(x) // 100) - m)
-                    adds.append(rest[: max(0, len(rest) - shared + 1)])
+                    adds.append(_meeting_keys(x[~held], max(1, -(-PERCENT * len(x) // 100) - m)))
                 else:
                     adds.append(None)
             cols = [b.column(0), b.column(1), b.column(2), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(room, pa.int64()), pa.array(adds, pa.list_(pa.int64()))]
@@ -198,27 +238,83 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "c long, node long, more boolean, linked boolean, size long, room long, adds array<long>")
 
 
-def _pairs(groups: DataFrame, small: int) -> DataFrame:
-    """(c, node, more): pairs to compare of groups (g, node); more: the group has members that c alone may not decide."""
-    heads = groups.groupBy("g").agg(F.min("node").alias("c"), F.count("*").alias("m")).filter("m > 1")
-    members = groups.join(heads, "g")
-    found = members.filter((F.col("m") > small) & (F.col("node") != F.col("c"))).select("c", "node", F.lit(True).alias("more"))
-    few = members.filter(F.col("m") <= small)
-    if small > 2:
-        other = few.select("g", F.col("node").alias("c"))
-        found = found.unionByName(few.drop("c").join(other, "g").filter("c < node").select("c", "node", F.lit(False).alias("more")))
-    else:
-        found = found.unionByName(few.filter("node != c").select("c", "node", F.lit(False).alias("more")))
-    return found.groupBy("c", "node").agg(F.max("more").alias("more"))
+def table_groups(classes: DataFrame) -> DataFrame:
+    """(g, node, rank): the table keys of the classes (node, sketch), without those that surely are a node's own.
+
+    A key can be shared only if both its sketches are. How many nodes share a node's sketches also ranks it: of a family
+    of copies the text they come from shares most, and it makes the best centre.
+    """
+    each = classes.select("node", F.posexplode("sketch").alias("i", "s"))
+    shared = each.groupBy("i", "s").agg(F.count("*").alias("m")).filter("m > 1")
+    known = each.join(shared, ["i", "s"]).groupBy("node").agg(F.sum("m").alias("rank"), F.collect_list(F.struct("i", "s")).alias("own"))  # 2 * M at most
+    rank = F.least("rank", F.lit(2**40)) * 2**20 + F.pmod(F.xxhash64("node"), F.lit(2**20))
+    one, two = F.filter("own", lambda x: x["i"] < M), F.filter("own", lambda x: x["i"] >= M)
+    tables = known.select("node", rank.alias("rank"), F.explode(one).alias("one"), two.alias("two")).select("node", "rank", "one", F.explode("two").alias("two"))
+    return tables.select(F.xxhash64("one.i", "one.s", "two.i", "two.s").alias("g"), "node", "rank")
+
+
+def _star_pairs(groups: DataFrame) -> DataFrame:
+    """(c, node, more) for groups (g, node, rank): each member with the centre, the member with the greatest rank; more:
+    some group of theirs has further members, between which links may be left."""
+    heads = groups.groupBy("g").agg(F.max_by("node", "rank").alias("c"), F.count("*").alias("m")).filter("m > 1")
+    members = groups.select("g", "node").join(heads, "g").filter("node != c")
+    return members.groupBy("c", "node").agg(F.max(F.col("m") > 2).alias("more"))
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """(c, node, more) for all pairs of groups of SMALL members at most."""
+    other = members.select("g", F.col("node").alias("c"))
+    return members.select("g", "node").join(other, "g").filter("c < node").select("c", "node").distinct().withColumn("more", F.lit(False))
+
+
+def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join the linked members of families (f, node), found by products of blocks of members.
+
+    Members are dealt to blocks of about BLOCK by hash. A pair of blocks is one group of bounded size: which of its
+    members are linked comes from the product of their incidence matrices over shared shingles, in parts of the columns,
+    and what leaves is one row a member that has a link, not a row a pair.
+    """
+    sizes = members.groupBy("f").agg(F.count("*").alias("m"))
+    n = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.join(sizes, "f").select("f", "node", F.pmod(F.xxhash64("node"), n).cast("int").alias("p"), n.alias("n")).join(sets, F.col("node") == F.col("x"))
+    dealt = dealt.select("f", "node", "xs", "p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"))
+    dealt = dealt.select("f", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "node", "xs")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [_unpacked(np.frombuffer(x, np.uint8)) for x in pdf["xs"]]
+        size = np.array([len(x) for x in own])
+        shingle, column, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(own)), size)
+        shared = count[column] > 1
+        row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(own), len(own)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            s, e = np.searchsorted(column, [lo, lo + 2048])
+            part = np.zeros((len(own), 2048), np.float32)
+            part[row[s:e], column[s:e] - lo] = 1
+            both += part @ part.T
+        linked = 100 * both.astype(np.int64) >= PERCENT * (size[:, None] + size[None, :] - both.astype(np.int64))
+        np.fill_diagonal(linked, True)
+        label, before = np.arange(len(own)), None
+        while before is None or (label != before).any():
+            before = label
+            label = np.where(linked, label[None, :], len(own)).min(axis=1)
+        node = pdf["node"].to_numpy()
+        joined = np.flatnonzero(label != np.arange(len(own)))
+        return pd.DataFrame({"a": node[joined], "b": node[label[joined]]})
+
+    return dealt.groupBy("f", "p", "q").applyInPandas(links, "a long, b long")
 
 
 def _next_groups(compared: DataFrame) -> DataFrame:
     """Groups (g, node) in which links between members may be left."""
     star = compared.filter("more")
-    open_ = star.groupBy("c").agg(F.max(~F.col("linked")).alias("_open"), F.max("room").alias("_room")).filter("_open")
+    open_ = star.groupBy("c").agg(F.max(~F.col("linked")).alias("_open"), F.max("room").alias("_room"), F.min("size").alias("_least")).filter("_open")
     rows = star.join(open_, "c")
     by_shingle = rows.select(F.explode("adds").alias("a"), "c", "node", "linked").select(F.xxhash64("c", "a").alias("g"), "node", "linked")
-    by_size = rows.filter((F.col("size") <= F.col("_room")) | F.col("room").isNotNull()).select(F.xxhash64("c", F.lit("size")).alias("g"), "node", "linked")
+    by_size = rows.filter("size <= _room or room >= _least").select(F.xxhash64("c", F.lit("size")).alias("g"), "node", "linked")
     both = by_shingle.unionByName(by_size)
     left = both.groupBy("g").agg(F.count("*").alias("_m"), F.max(~F.col("linked")).alias("_open")).filter("_m > 1 and _open").select("g")
     return both.select("g", "node").join(left, "g", "left_semi").distinct()
@@ -256,21 +352,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sig = written(signatures(docs, key, text).withColumnRenamed(key, "_id"), "signatures")
     full = sig.filter("n > 0 and _id is not null").withColumn("_id", F.col("_id").cast("long"))
     classes = written(full.groupBy("n", "one", "two").agg(F.min("_id").alias("node"), F.any_value("sketch").alias("sketch")), "classes")
-    t = F.col("t")
-    table_key = F.xxhash64(t, F.get("sketch", F.expr(f"t div {M}").cast("int")), F.get("sketch", (M + t % M).cast("int")))
-    keys = classes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(M * M - 1))).alias("t")).select(table_key.alias("g"), "node")
-    pairs = written(_pairs(keys, 2), "pairs")
+    pairs = written(_star_pairs(table_groups(classes)), "pairs")
     nodes = pairs.select("node").unionByName(pairs.select(F.col("c").alias("node"))).distinct()
     sets = written(stored_sets(docs, nodes, key, text), "sets")
-    edges = None
-    while True:
-        compared = written(_compare(pairs, sets), "compared")
-        linked = compared.filter("linked").select(F.col("c").alias("a"), F.col("node").alias("b"))
-        edges = linked if edges is None else edges.unionByName(linked)
-        groups = written(_next_groups(compared), "groups")
-        if groups.isEmpty():
-            break
-        pairs = written(_pairs(groups, SMALL), "pairs")
+    compared = written(_compare(pairs, sets), "compared")
+    left = written(_next_groups(compared), "groups")
+    sized = left.join(left.groupBy("g").agg(F.count("*").alias("m")), "g")
+    few = _compare(_small_pairs(sized.filter(F.col("m") <= SMALL)), sets)
+    many = sized.filter(F.col("m") > SMALL).select("g", "node")
+    heads = many.groupBy("g").agg(F.min("node").alias("b"))
+    chained = components(many.join(heads, "g").select(F.col("node").alias("a"), "b"))
+    families = chained.select(F.col("root").alias("f"), "node").unionByName(chained.select(F.col("root").alias("f"), F.col("root").alias("node"))).distinct()
+    found = compared.filter("linked").unionByName(few.filter("linked")).select(F.col("c").alias("a"), F.col("node").alias("b"))
+    edges = found.unionByName(_block_links(families, sets))
     roots = components(edges)
     rows = sig.drop("sketch").join(classes.drop("sketch"), ["n", "one", "two"], "left").join(roots, "node", "left")
     kind = docs.schema[key].dataType
