@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import global_rank, with_small, written
 from .hilbert import hilbert_index
@@ -38,7 +39,7 @@ def _size_code(size: Column) -> Column:
     return F.least(2 * (F.length(digits) - 1) + half, F.lit(2**BITS - 1)).cast("int")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), BITS))
 
