@@ -321,6 +321,8 @@ reach us at [local_phone:(DDD) DDD-DDDD] or by mail
 tel. [local_phone:DDD.DDD.DDDD] and ask
 dial [local_phone:DDD-DDDD] for help
 her number, [local_phone:(DDD) DDD-DDDD], has changed
+call [local_phone:(DDD) DDD-DDDD] or [local_phone:DDD-DDD-DDDD] now.
+call [local_phone:DDD-DDD-DDDD] and [local_phone:DDD-DDD-DDDD] then
 their id is [national_id:DDD-DD-DDDD] on file
 number [national_id:DDD-DD-DDDD] was issued
 the form asks for [national_id:DDD-DD-DDDD], signed
