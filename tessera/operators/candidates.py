@@ -42,6 +42,13 @@ def attach(pairs: DataFrame, records: DataFrame, columns: list[str], id_col: str
     return pairs.join(a, S1, "left").join(b, CAND, "left")
 
 
+def attach_features(scored: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
+    """scored with columns of a feature table; only the features of scored pairs cross the network beyond the join keys'
+    filter, and a pair without features keeps nulls."""
+    known = features.select(*PAIR, *columns).join(scored.select(*PAIR), PAIR, "left_semi")
+    return scored.join(known, PAIR, "left")
+
+
 def semi(df: DataFrame, ids: DataFrame, on: str = S1) -> DataFrame:
     return df.join(ids.select(on).distinct(), on, "left_semi")
 
