@@ -14,6 +14,7 @@ then by doubling their names.
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 
@@ -56,41 +57,54 @@ class Hashes:
             return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
-def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(text, first window, last window, anchor hash, two hashes) of the segments of texts; places are in x."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3
+def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, hashed: bool = True):
+    """(text, first window, last window, anchor hash, two hashes) of the segments of texts; places are in x. The two
+    hashes are left out (empty) unless hashed."""
+    empty = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), empty, empty, empty
     if len(x) < length:
         return none
     one = Hashes(x, _LUT[0])
-    at = np.arange(len(x) - gram + 1)
-    grams = one.of(at, at + gram)
-    packed = (grams >> np.uint64(24) << np.uint64(24)) | at.astype(np.uint64)
+    n_grams = len(x) - gram + 1
+    with np.errstate(over="ignore"):
+        grams = mix64((one.sums[gram:] - one.sums[:n_grams]) * one.inverse[:n_grams])
+    packed = (grams & ~np.uint64(2**24 - 1)) | np.arange(n_grams, dtype=np.uint64)
     w = length - gram + 1
-    n = len(packed) - w + 1
-    blocks = np.full(-(-len(packed) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    blocks[: len(packed)] = packed
+    n = n_grams - w + 1
+    # least of each window: the least to the end of its block of w and from the next block's begin
+    blocks = np.full(-(-n_grams // w) * w, np.iinfo(np.uint64).max, np.uint64)
+    blocks[:n_grams] = packed
     blocks = blocks.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     anchor = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64(2**24 - 1)).astype(np.int64)
-    text = np.searchsorted(offsets, np.arange(n), side="right") - 1
-    start = np.flatnonzero(np.arange(n) + length <= offsets[text + 1])
-    if not len(start):
+    fits = np.ones(n + 1, bool)
+    for o in offsets[1:].tolist():  # windows that reach over a text's end
+        fits[max(0, o - length + 1) : min(n, o)] = False
+    fits[n] = False
+    new = fits.copy()
+    new[1:] &= ~fits[:-1] | np.r_[anchor[1:] != anchor[:-1], True]
+    s0 = np.flatnonzero(new)
+    if not len(s0):
         return none
-    new = np.flatnonzero(np.r_[True, (np.diff(start) > 1) | (anchor[start[1:]] != anchor[start[:-1]]) | (text[start[1:]] != text[start[:-1]])])
-    s0, s1 = start[new], start[np.r_[new[1:] - 1, len(start) - 1]]
-    return text[s0], s0, s1, grams[anchor[s0]], one.of(s0, s1 + length), Hashes(x, _LUT[1]).of(s0, s1 + length)
+    last = fits[:-1] & (new[1:] | ~fits[1:])
+    s1 = np.flatnonzero(last)
+    text = np.searchsorted(offsets, s0, side="right") - 1
+    if not hashed:
+        return text, s0, s1, grams[anchor[s0]], empty, empty
+    return text, s0, s1, grams[anchor[s0]], one.of(s0, s1 + length), Hashes(x, _LUT[1]).of(s0, s1 + length)
 
 
-def _over(data: np.ndarray, offsets: np.ndarray, length: int):
+def _over(data: np.ndarray, offsets: np.ndarray, length: int, hashed: bool = True):
     """segments() of a batch, slice by slice; long texts in overlapping pieces. Places are in the text."""
     for lo, hi in in_slices(np.diff(offsets).tolist(), SLICE):
         base, size = int(offsets[lo]), int(offsets[hi] - offsets[lo])
-        for piece in range(0, max(1, size), PIECE if hi - lo == 1 else max(1, size)):
-            x = data[base + piece : base + min(size, piece + (PIECE + length - 1 if hi - lo == 1 else size))]
-            off = np.array([0, len(x)]) if hi - lo == 1 else offsets[lo : hi + 1] - base
-            text, s0, s1, h, a, b = segments(x, off, length)
-            yield lo + text, s0 + piece - (off[text]), s1 + piece - (off[text]), h, a, b
+        single = hi - lo == 1
+        for piece in range(0, max(1, size), PIECE if single else max(1, size)):
+            x = data[base + piece : base + min(size, piece + (PIECE + length - 1 if single else size))]
+            off = np.array([0, len(x)]) if single else offsets[lo : hi + 1] - base
+            text, s0, s1, h, a, b = segments(x, off, length, hashed=hashed)
+            yield lo + text, s0 + piece - off[text], s1 + piece - off[text], h, a, b
 
 
 # ---- sorting a shard on disk ------------------------------------------------------------------------------------------
@@ -99,11 +113,11 @@ def _over(data: np.ndarray, offsets: np.ndarray, length: int):
 class Queue:
     """Positions in the order in which they are put, in a file."""
 
-    def __init__(self, path: str) -> None:
-        self.path, self.n, self.held, self.held_n = path, 0, [], 0
+    def __init__(self, path: str, kind: type = np.int64) -> None:
+        self.path, self.kind, self.n, self.held, self.held_n = path, kind, 0, [], 0
 
     def put(self, values: np.ndarray) -> None:
-        self.held.append(values.astype(np.int64))
+        self.held.append(values.astype(self.kind))
         self.held_n += len(values)
         self.n += len(values)
         if self.held_n >= 8192:
@@ -119,7 +133,12 @@ class Queue:
         if n <= 0:
             return np.zeros(0, np.int64)
         self.flush()
-        return np.fromfile(self.path, np.int64, n, offset=8 * start)
+        return np.fromfile(self.path, self.kind, n, offset=np.dtype(self.kind).itemsize * start).astype(np.int64)
+
+    def drop(self) -> None:
+        self.held = []
+        if os.path.exists(self.path):
+            os.remove(self.path)
 
     def forward(self):
         """Blocks from the first on, those put meanwhile included."""
@@ -137,6 +156,10 @@ class Queue:
             at -= n
 
 
+def _kind(t: np.ndarray) -> type:
+    return np.int32 if len(t) < 2**31 else np.int64
+
+
 def _induce(t: np.ndarray, is_l: np.ndarray, seeds: dict[int, Queue], folder: str, name: str) -> tuple[dict[int, Queue], dict[int, Queue]]:
     """Queues of the suffixes by first letter: of the first type in order, of the second in reverse order."""
     made: tuple[dict[int, Queue], dict[int, Queue]] = ({}, {})
@@ -152,7 +175,7 @@ def _induce(t: np.ndarray, is_l: np.ndarray, seeds: dict[int, Queue], folder: st
             for s, e in zip(cuts, np.r_[cuts[1:], len(p)]):
                 c = int(ch[s])
                 if c not in made[second]:
-                    made[second][c] = Queue(f"{folder}/{name}{int(second)}-{c}")
+                    made[second][c] = Queue(f"{folder}/{name}{int(second)}-{c}", _kind(t))
                 made[second][c].put(p[s:e])
 
     letters = range(int(t.max()) + 1)
@@ -171,12 +194,12 @@ def _induce(t: np.ndarray, is_l: np.ndarray, seeds: dict[int, Queue], folder: st
 
 def _types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is greater than the one behind it; 0 is an end and counts as less."""
+    if len(t) < 2:
+        return np.zeros(len(t), bool)
     change = np.flatnonzero(t[1:] != t[:-1])
-    nearest = np.searchsorted(change, np.arange(len(t) - 1))
-    at = change[np.minimum(nearest, len(change) - 1)] if len(change) else np.zeros(len(t) - 1, int)
-    greater = t[at] > t[np.minimum(at + 1, len(t) - 1)]
-    greater[nearest >= len(change)] = True
-    return np.r_[greater & (t[:-1] > 0), False]
+    falls = t[change] > t[change + 1]
+    runs = np.diff(np.r_[-1, change, len(t) - 1])  # a run of equal letters goes by the letter behind it
+    return np.repeat(np.r_[falls, False], runs) & (t > 0)
 
 
 def suffix_order(t: np.ndarray, folder: str, depth: int):
@@ -188,32 +211,40 @@ def suffix_order(t: np.ndarray, folder: str, depth: int):
         return
 
     def queues(positions: np.ndarray, name: str) -> dict[int, Queue]:
+        letters = t[positions]
+        by = np.argsort(letters, kind="stable")
+        positions, letters = positions[by], letters[by]
+        cuts = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
         out: dict[int, Queue] = {}
-        for c in np.unique(t[positions]):
-            out[int(c)] = Queue(f"{folder}/{name}-{c}")
-            out[int(c)].put(positions[t[positions] == c])
+        for a, e in zip(cuts, np.r_[cuts[1:], len(positions)]):
+            out[int(letters[a])] = q = Queue(f"{folder}/{name}-{letters[a]}", _kind(t))
+            q.put(positions[a:e])
         return out
 
     is_seed = np.zeros(len(t), bool)
     is_seed[seed] = True
     # substrings from seed to seed, sorted by a first run with seeds in any order
-    _, s = _induce(t, is_l, queues(seed, "seed"), folder, "a")
+    seeds = queues(seed, "seed")
+    l, s = _induce(t, is_l, seeds, folder, "a")
     order = [b[is_seed[b]] for c in sorted(s) for b in s[c].backward()]
+    for q in (*l.values(), *s.values(), *seeds.values()):
+        q.drop()
     order = np.concatenate(order) if order else np.zeros(0, np.int64)
     ends = np.flatnonzero(t == 0)
     order = np.r_[ends[is_seed[ends]], order[t[order] > 0]]
-    place = np.searchsorted(seed, order)
+    place = (np.cumsum(is_seed, dtype=_kind(t)) - 1)[order]
     upto = np.minimum(np.r_[seed[1:], len(t) - 1] + 1, len(t))[place]
-    h = Hashes(t.astype(np.uint16), mix64(np.arange(65536, dtype=np.uint64))).of(order, np.maximum(upto, order + 1))
+    h = Hashes(t, mix64(np.arange(257, dtype=np.uint64))).of(order, np.maximum(upto, order + 1))
     new = np.r_[True, (h[1:] != h[:-1]) | (t[order[1:]] == 0) | (t[order[:-1]] == 0)]
     rank = np.zeros(len(seed), np.int64)
     rank[place] = np.cumsum(new) - 1
     k = 1
-    while k < depth and rank.max() + 1 < len(rank):  # names of 2k substrings from names of k
+    while 2 * k < depth and rank.max() + 1 < len(rank):  # names of 2k substrings, of two letters at least, from names of k
         behind = np.r_[rank[k:] + 1, np.zeros(min(k, len(rank)), np.int64)][: len(rank)]
-        by = np.lexsort((behind, rank))
-        differs = np.r_[True, (rank[by][1:] != rank[by][:-1]) | (behind[by][1:] != behind[by][:-1])]
-        rank[by] = np.cumsum(differs) - 1
+        key = rank.astype(np.uint64) << np.uint64(32) | behind.astype(np.uint64)
+        by = np.argsort(key)
+        key = key[by]
+        rank[by] = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
         k *= 2
     l, s = _induce(t, is_l, queues(seed[np.argsort(rank, kind="stable")], "sorted"), folder, "b")
     for c in sorted({*l, *s}):
@@ -241,7 +272,7 @@ def repeated_starts(texts, length: int = LENGTH) -> list[np.ndarray]:
         live = np.zeros(len(t), bool)
         for s, e in zip(offsets[:-1], offsets[1:]):
             live[s : max(s, e - length)] = True
-        hashes = Hashes(t, mix64(np.arange(65536, dtype=np.uint64) + np.uint64(7)))
+        hashes = Hashes(t, mix64(np.arange(257, dtype=np.uint64) + np.uint64(7)))
         mark, last, last_hash = np.zeros(len(t), bool), None, None
         for block in suffix_order(t, folder, length):
             block = block[live[block]]
@@ -288,7 +319,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            found = [h for _, _, _, h, _, _ in _over(*arrow_bytes(b.column(0)), length)]
+            found = [h for _, _, _, h, _, _ in _over(*arrow_bytes(b.column(0)), length, hashed=False)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["h"])
 
     again = rows.select("_text").mapInArrow(anchors, kinds).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
@@ -352,7 +383,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             at = [(int(uid[i]), int(did[i]), int(s0[i]) + s, int(s0[i]) + e) for i, x in enumerate(starts) if single[i] for s, e in _ranges(x, length)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in at], pa.int64()) for k in range(4)], names=["uid", "did", "s", "e"])
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task's queues take some 10 bytes a letter of disk
     sorted_ranges = pieces.repartition(partitions, "h").mapInArrow(sort, "uid long, did long, s long, e long")
     return ranges.unionByName(sorted_ranges)
 
