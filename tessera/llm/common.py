@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_before.get() if set_before.isDefined() else None
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
