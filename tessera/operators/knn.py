@@ -30,25 +30,25 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("emb_rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("emb_rank") < k)
 
 
-def knn_blocks(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "embedding", country: str = "country", is_s1: str = "is_source1", block: int = 4096, salts: int = 8) -> DataFrame:
-    """knn_pairs() by matrix products: queries of a country in blocks of a hash, targets in `salts` parts, each pair of a
-    query block and a target part one group; what is left of each group is k rows a query."""
+def knn_blocks(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "embedding", country: str = "country", is_s1: str = "is_source1", block: int = 4096, part: int = 65_536) -> DataFrame:
+    """knn_pairs() by matrix products: queries of a country in blocks of about `block` rows by hash, targets in parts of
+    about `part`, each pair of a query block and a target part one group of bounded size; k rows a query leave it."""
     spark = vectors.sparkSession
-    sizes = vectors.filter(is_s1).groupBy(country).agg(F.count("*").alias("_n"))
-    q_blocks = F.ceil(F.col("_n") / block).cast("int")
-    queries = vectors.filter(is_s1).join(sizes, country)
-    queries = queries.withColumn("_q", F.pmod(F.xxhash64(id_col), q_blocks).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    targets = vectors.filter(~F.col(is_s1)).join(sizes, country)
-    targets = targets.withColumn("_t", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(salts)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), q_blocks - 1)))
+    s1 = F.col(is_s1)
+    sizes = vectors.groupBy(country).agg(F.count(F.when(s1, 1)).alias("_n"), F.count(F.when(~s1, 1)).alias("_m")).filter("_n > 0 and _m > 0")
+    q_blocks, t_parts = F.ceil(F.col("_n") / block).cast("int"), F.ceil(F.col("_m") / part).cast("int")
+    known = vectors.join(sizes, country)
+    queries = known.filter(s1).withColumn("_q", F.pmod(F.xxhash64(id_col), q_blocks).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), t_parts - 1)))
+    targets = known.filter(~s1).withColumn("_t", F.pmod(F.xxhash64(id_col, F.lit(1)), t_parts).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), q_blocks - 1)))
     cols = [F.col(country).alias("country"), "_q", "_t", F.col(id_col).alias("id"), F.col(vec).alias("vec")]
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def search(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
-            return pd.DataFrame({S1: [], CAND: [], "country": [], "emb_score": []})
-        a, ids = np.stack(q["vec"]).astype(float), t["id"].to_numpy()
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (S1, CAND, "country")}).assign(emb_score=pd.Series([], dtype=float))
+        a, ids, names = np.stack(q["vec"]).astype(float), t["id"].to_numpy(), q["id"].to_numpy()
         b = np.stack(t["vec"]).astype(float)
-        n, out = min(k, len(ids)), []
+        n, rows, cols_, scores = min(k, len(ids)), [], [], []
         order_of_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         for i in range(0, len(a), 256):
             s = np.round(a[i : i + 256] @ b.T, DIGITS)
@@ -56,8 +56,11 @@ def knn_blocks(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "embed
                 least = np.partition(row, len(row) - n)[len(row) - n]
                 some = np.flatnonzero(row >= least)
                 best = some[np.lexsort((order_of_id[some], -row[some]))][:n]
-                out.append(pd.DataFrame({S1: q["id"].iloc[i + j], CAND: ids[best], "country": key[0], "emb_score": row[best]}))
-        return pd.concat(out)
+                rows += [i + j] * n
+                cols_ += best.tolist()
+                scores += row[best].tolist()
+        made = {S1: names[rows], CAND: ids[cols_], "country": [key[0]] * len(rows)}
+        return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in made.items()}).assign(emb_score=scores)
 
     found = queries.select(*cols).groupBy("country", "_q", "_t").cogroup(targets.select(*cols).groupBy("country", "_q", "_t"))
     schema = f"{S1} {kind}, {CAND} {kind}, country {vectors.schema[country].dataType.simpleString()}, emb_score double"

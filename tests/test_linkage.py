@@ -71,7 +71,7 @@ def test_knn_equals_brute_force(spark, k):
         if s:
             others = sorted(((-round(float(np.dot(x, y)), 9), j) for j, d, t, y in rows if not t and d == c))[:k]
             want |= {(i, j, r) for r, (_, j) in enumerate(others)}
-    for found in (knn.knn_pairs(df, k), knn.knn_blocks(df, k, block=2, salts=3)):
+    for found in (knn.knn_pairs(df, k), knn.knn_blocks(df, k, block=2, part=7)):
         assert {(r[S1], r[CAND], r["emb_rank"]) for r in found.collect()} == want
 
 
