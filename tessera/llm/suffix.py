@@ -26,7 +26,7 @@ from .common import arrow_bytes, bounded_batches, in_slices, mix64, written
 
 LENGTH, GRAM = 400, 32
 SLICE, PIECE = 500_000, 8_000_000
-BLOCK = 1 << 18
+BLOCK, STRETCH = 1 << 18, 1 << 20
 #: Bits of the filter of repeated anchors: BITS_EACH an anchor, MOST_BITS (16 MB) at most, which bounds its broadcast.
 BITS_EACH, MOST_BITS = 16, 2**27
 
@@ -57,6 +57,18 @@ class Hashes:
             return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+def hashes_of(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, lut: np.ndarray) -> np.ndarray:
+    """Hashes of parts of t with ascending starts and ends, a stretch of t at a time."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        lo = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, lo + STRETCH, side="right")))
+        own = Hashes(t[lo : int(ends[upto - 1])], lut)
+        out[at:upto] = own.of(starts[at:upto] - lo, ends[at:upto] - lo)
+        at = upto
+    return out
+
+
 def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, hashed: bool = True):
     """(text, first window, last window, anchor hash, two hashes) of the segments of texts; places are in x. The two
     hashes are left out (empty) unless hashed."""
@@ -192,21 +204,23 @@ def _induce(t: np.ndarray, is_l: np.ndarray, seeds: dict[int, Queue], folder: st
     return made
 
 
-def _types(t: np.ndarray) -> np.ndarray:
-    """Whether each suffix is greater than the one behind it; 0 is an end and counts as less."""
-    if len(t) < 2:
-        return np.zeros(len(t), bool)
-    change = np.flatnonzero(t[1:] != t[:-1])
-    falls = t[change] > t[change + 1]
-    runs = np.diff(np.r_[-1, change, len(t) - 1])  # a run of equal letters goes by the letter behind it
-    return np.repeat(np.r_[falls, False], runs) & (t > 0)
+def _types(t: np.ndarray, out: np.ndarray) -> None:
+    """Whether each suffix is greater than the one behind it; 0 is an end and counts as less. From the end, in blocks."""
+    behind, b = False, len(t)
+    while b:
+        a = max(0, b - BLOCK)
+        x = t[a : b + 1]
+        change = np.flatnonzero(x[1:] != x[:-1])
+        runs = np.diff(np.r_[-1, change, len(x) - 1])  # a run of equal letters goes by the letter behind it
+        out[a:b] = (np.repeat(np.r_[x[change] > x[change + 1], behind], runs) & (x > 0))[: b - a]
+        behind, b = bool(out[a]), a
 
 
 def suffix_order(t: np.ndarray, folder: str, depth: int):
     """Blocks of positions of t (letters, 0 ends a text) in suffix order, right to `depth` letters."""
     is_l = np.lib.format.open_memmap(f"{folder}/types.npy", "w+", bool, (len(t),))
-    is_l[:] = _types(t)
-    seed = np.flatnonzero(~is_l[1:] & is_l[:-1]) + 1
+    _types(t, is_l)
+    seed = (np.flatnonzero(~is_l[1:] & is_l[:-1]) + 1).astype(_kind(t))
     if not len(seed):
         return
 
@@ -229,22 +243,26 @@ def suffix_order(t: np.ndarray, folder: str, depth: int):
     order = [b[is_seed[b]] for c in sorted(s) for b in s[c].backward()]
     for q in (*l.values(), *s.values(), *seeds.values()):
         q.drop()
-    order = np.concatenate(order) if order else np.zeros(0, np.int64)
+    order = np.concatenate(order).astype(_kind(t)) if order else np.zeros(0, _kind(t))
     ends = np.flatnonzero(t == 0)
-    order = np.r_[ends[is_seed[ends]], order[t[order] > 0]]
+    order = np.r_[ends[is_seed[ends]].astype(_kind(t)), order[t[order] > 0]]
     place = (np.cumsum(is_seed, dtype=_kind(t)) - 1)[order]
-    upto = np.minimum(np.r_[seed[1:], len(t) - 1] + 1, len(t))[place]
-    h = Hashes(t, mix64(np.arange(257, dtype=np.uint64))).of(order, np.maximum(upto, order + 1))
+    del is_seed
+    h = hashes_of(t, seed, np.minimum(np.r_[seed[1:], len(t) - 1] + 1, len(t)), mix64(np.arange(257, dtype=np.uint64)))
+    h = h[place]
     new = np.r_[True, (h[1:] != h[:-1]) | (t[order[1:]] == 0) | (t[order[:-1]] == 0)]
-    rank = np.zeros(len(seed), np.int64)
-    rank[place] = np.cumsum(new) - 1
+    del order, h
+    rank = np.zeros(len(seed), _kind(t))
+    rank[place] = np.cumsum(new, dtype=_kind(t)) - 1
+    del place, new
     k = 1
-    while 2 * k < depth and rank.max() + 1 < len(rank):  # names of 2k substrings, of two letters at least, from names of k
-        behind = np.r_[rank[k:] + 1, np.zeros(min(k, len(rank)), np.int64)][: len(rank)]
-        key = rank.astype(np.uint64) << np.uint64(32) | behind.astype(np.uint64)
+    while 2 * k < depth and int(rank.max()) + 1 < len(rank):  # names of 2k substrings, of two letters at least, from names of k
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: max(0, len(rank) - k)] |= (rank[k:] + 1).astype(np.uint64)
         by = np.argsort(key)
-        key = key[by]
-        rank[by] = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        key.sort()
+        rank[by] = np.cumsum(np.r_[True, key[1:] != key[:-1]], dtype=_kind(t)) - 1
+        del by
         k *= 2
     l, s = _induce(t, is_l, queues(seed[np.argsort(rank, kind="stable")], "sorted"), folder, "b")
     for c in sorted({*l, *s}):
@@ -272,12 +290,15 @@ def repeated_starts(texts, length: int = LENGTH) -> list[np.ndarray]:
         live = np.zeros(len(t), bool)
         for s, e in zip(offsets[:-1], offsets[1:]):
             live[s : max(s, e - length)] = True
-        hashes = Hashes(t, mix64(np.arange(257, dtype=np.uint64) + np.uint64(7)))
+        hashes = np.lib.format.open_memmap(f"{folder}/windows.npy", "w+", np.uint64, (len(t),))
+        for a in range(0, len(t) - length, STRETCH):
+            at = np.arange(a, min(a + STRETCH, len(t) - length))
+            hashes[a : a + len(at)] = hashes_of(t, at, at + length, mix64(np.arange(257, dtype=np.uint64) + np.uint64(7)))
         mark, last, last_hash = np.zeros(len(t), bool), None, None
         for block in suffix_order(t, folder, length):
             block = block[live[block]]
             if len(block):
-                h = hashes.of(block, block + length)
+                h = hashes[block]
                 same = np.flatnonzero(h[1:] == h[:-1])
                 mark[block[same]] = mark[block[same + 1]] = True
                 if last is not None and last_hash == h[0]:
@@ -383,7 +404,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             at = [(int(uid[i]), int(did[i]), int(s0[i]) + s, int(s0[i]) + e) for i, x in enumerate(starts) if single[i] for s, e in _ranges(x, length)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in at], pa.int64()) for k in range(4)], names=["uid", "did", "s", "e"])
 
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task's queues take some 10 bytes a letter of disk
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task's queues take some 20 bytes a letter of disk
     sorted_ranges = pieces.repartition(partitions, "h").mapInArrow(sort, "uid long, did long, s long, e long")
     return ranges.unionByName(sorted_ranges)
 
