@@ -863,7 +863,7 @@ def _(spark, d):
 
 
 def _cleaned(spark, d):
-    r = views.rec(spark, d)
+    r = views.whole_rec(spark, d)
     c = text.clean_records(r.select(F.concat("side", F.lit("-"), "entity_id").alias("entity_id"), "name", "address", "country"), name="name", address="address")
     is_s1 = F.col("entity_id").startswith("S1-")
     return c.filter(is_s1), c.filter(~is_s1)

@@ -21,6 +21,15 @@ def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as rec has them, of whole texts: the name ends with the first sentence or line, all the rest is the address."""
+    side = F.when(F.col("doc_id") % 5 == 0, "S1").when(F.col("doc_id") % 5 < 3, "S2").otherwise("S3")
+    name = F.regexp_extract("text", r"^[^.!?\n]*[.!?\n]?", 0)
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("entity_id"), side.alias("side"), F.col("lang").alias("country"), name.alias("name"), F.col("text").substr(F.char_length(name) + 1, F.char_length("text")).alias("address")
+    )
+
+
 def keyed_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec with what blocking needs."""
     return rec(spark, sf_dir).withColumns({"name_tokens": text.tokenize(F.lower("name")), "address_normalized": F.lower("address")})
