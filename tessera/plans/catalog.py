@@ -19,7 +19,7 @@ from .views import EDGE, SEP, sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Limits of blocking at the size of the test tables.
+#: Limits of blocking in the queries whose SQL has them; pair_features and link have the operator's own.
 MAX_DF, KEYS, TOP_K = 50, 10, 5
 
 
@@ -871,7 +871,7 @@ def _cleaned(spark, d):
 
 def _features(spark, d):
     a, b = _cleaned(spark, d)
-    pairs = blocking.token_blocking(a, b, max_df=MAX_DF, keys=KEYS, k=TOP_K)
+    pairs = blocking.token_blocking(a, b)
     return features.all_features(pairs, a.unionByName(b))
 
 
@@ -928,7 +928,7 @@ def _(spark, d):
     from .linkage import Config, link
 
     a, b = _cleaned(spark, d)
-    return link(a, b, config=Config(MAX_DF, KEYS, TOP_K, threshold=0.75)).select(*PAIR, r6("score").alias("score"))
+    return link(a, b, config=Config(threshold=0.75)).select(*PAIR, r6("score").alias("score"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

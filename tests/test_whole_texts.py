@@ -30,3 +30,14 @@ def test_pair_features_of_texts_that_agree_late(spark, tmp_path):
     d = documents(spark, tmp_path, rows)
     found = {(r["s1"], r["cand"]): r["addr_tok_jaccard"] for r in catalog.QUERIES["pair_features"](spark, d).collect()}
     assert set(found) == {("S1-5", "S2-6")} and abs(found["S1-5", "S2-6"] - 30 / 90) < 1e-6
+
+
+def test_large_families_keep_their_candidates(spark, tmp_path):
+    """A copy has candidates however many targets hold its tokens, as many as the operator keeps."""
+    rng = random.Random(4)
+    copy = words(rng, 8) + ". " + words(rng, 20)
+    copies = [5, *(i for i in range(6, 120) if i % 5)]
+    rows = [(i, copy, "en") for i in copies] + [(i, words(rng, 8) + ". " + words(rng, 20), "en") for i in range(120, 140)]
+    d = documents(spark, tmp_path, rows)
+    found = catalog.QUERIES["pair_features"](spark, d).select("s1", "cand", "addr_tok_jaccard").collect()
+    assert len(found) == 40 and {r["s1"] for r in found} == {"S1-5"} and all(r["addr_tok_jaccard"] == 1 for r in found)
