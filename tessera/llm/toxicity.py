@@ -15,10 +15,11 @@ from .common import arrow_bytes, bounded_batches, in_slices, mix64, written
 
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 19
-#: The classifier is fitted to at most so many labelled rows (those with the smallest hash of their id) and features.
-MOST_ROWS, MOST_FEATURES = 20_000, 10_000
-#: Least size and z value of a log-count ratio, least documents with the n-gram, and smoothing.
-LEAST_RATIO, LEAST_Z, LEAST_DOCS, SMOOTHING = 1.0, 4.0, 5, 1.0
+#: The classifier is fitted to at most so many labelled rows (those with the smallest hash of their id) and features
+#: (a feature is sent as a short).
+MOST_ROWS, MOST_FEATURES = 30_000, 20_000
+#: Least z value of a log-count ratio, least documents with the n-gram, and smoothing.
+LEAST_Z, LEAST_DOCS, SMOOTHING = 4.0, 5, 1.0
 
 #: Bytes of text in one numpy pass; a pass takes some hundred bytes of memory for each.
 SLICE = 500_000
@@ -88,16 +89,25 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays(rows, names=["bucket", "clean", "toxic"])
 
 
-def _regression(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, scale: np.ndarray, rounds: int = 300, penalty: float = 1e-4, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Logistic regression over scaled presence, by Adam on all rows."""
+def _regression(sizes: np.ndarray, feature: np.ndarray, y: np.ndarray, scale: np.ndarray, rounds: int = 300, penalty: float = 1e-4, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Logistic regression over scaled presence, by Adam on all rows. feature: each row's features, `sizes` of them, one
+    row after another; they are read in slices of whole rows, so memory is feature's own and a slice's."""
     w, bias = np.ones(len(scale)) * 0.1, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m = np.zeros(len(w) + 1)
     v = np.zeros(len(w) + 1)
-    value = scale[feature]
+    first = np.r_[0, np.cumsum(sizes)]
+    full = np.flatnonzero(sizes)
+    slices = [full[lo:hi] for lo, hi in in_slices(sizes[full].tolist(), SLICE)] if len(full) else []
     for t in range(1, rounds + 1):
-        z = np.bincount(doc, value * w[feature], len(y)) + bias
-        d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.r_[np.bincount(feature, value * d[doc], len(w)) + penalty * w, d.sum()]
+        each, slope = scale * w, np.zeros(len(w))
+        d = np.full(len(y), bias)
+        for own in slices:
+            part = feature[first[own[0]] : first[own[-1] + 1]]
+            d[own] += np.add.reduceat(each[part], first[own] - first[own[0]])
+        d = (1 / (1 + np.exp(-np.clip(d, -40, 40))) - y) / len(y)
+        for own in slices:
+            slope += np.bincount(feature[first[own[0]] : first[own[-1] + 1]], np.repeat(d[own], sizes[own]), len(w))
+        g = np.r_[slope * scale + penalty * w, d.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - float(step[-1])
@@ -123,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ratio = F.log(a / (total["toxic"] + 2 * SMOOTHING)) - F.log(b / (total["clean"] + 2 * SMOOTHING))
     z = F.abs(ratio) / F.sqrt(1 / a + 1 / b)
     best = counted.filter((F.col("bucket") >= 0) & (F.col("toxic") + F.col("clean") >= LEAST_DOCS)).select("bucket", ratio.alias("ratio"), z.alias("z"))
-    best = best.filter((F.col("z") >= LEAST_Z) & (F.abs("ratio") >= LEAST_RATIO)).orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES).toPandas()
+    best = best.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES).toPandas()
     place[best["bucket"]] = np.arange(len(best), dtype=np.int32)
     scale = np.append(best["ratio"].to_numpy(float), 0.0)
     shared = spark.sparkContext.broadcast(place)
@@ -136,14 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             found = []
             for lo, hi in in_slices(np.diff(offsets).tolist(), SLICE):
                 doc, feature = _present(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shared.value)
-                found += np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, hi - lo)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "features"])
+                found += np.split(feature.astype(np.int16), np.searchsorted(doc, np.arange(1, hi - lo)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int16()))], names=["label", "features"])
 
-    got = rows.mapInArrow(features, "label int, features array<int>").toArrow().combine_chunks()
+    got = rows.mapInArrow(features, "label int, features array<short>").toArrow().combine_chunks()
     y, lists = got.column("label").to_numpy().astype(float), got.column("features").combine_chunks()
-    feature = lists.flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy().astype(np.int64))
-    weight, bias = _regression(doc, feature, y, scale)
+    weight, bias = _regression(lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), y, scale)
     return Classifier(place, weight, bias)
 
 
