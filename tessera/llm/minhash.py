@@ -25,10 +25,12 @@ from .common import arrow_bytes, bounded_batches, in_slices, mix64, words_of, wr
 #: Sketches of each collection, and minhashes of a sketch: a pair at similarity 0.85 meets in some table with
 #: probability (1 - (1 - 0.85 ** R) ** M) ** 2 = 0.999, one at 0.9 with 0.9999.
 M, R = 8, 3
+#: Sketches of each collection for links from 80 percent on: (1 - (1 - 0.8 ** R) ** M_80) ** 2 = 0.999.
+M_80 = 11
 WORDS = 5
 #: Bytes of text in one numpy pass; a pass takes some hundred bytes of memory for each.
 SLICE = 500_000
-#: Link if 100 * |x & y| >= PERCENT * |x | y|.
+#: Link if 100 * |x & y| >= percent * |x | y|; PERCENT, unless another is asked for.
 PERCENT = 85
 #: Groups around a centre of at most so many members are compared pair by pair; larger ones in blocks of about BLOCK.
 SMALL, BLOCK = 64, 384
@@ -39,7 +41,7 @@ _FOLD = mix64(_FOLD + np.uint64(1))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _PLACES = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
-_XOR, _TIMES = mix64(np.arange(100, 100 + 2 * M * R, dtype=np.uint64)), mix64(np.arange(500, 500 + 2 * M * R, dtype=np.uint64)) | np.uint64(1)
+_XOR, _TIMES = mix64(np.arange(100, 100 + 2 * M_80 * R, dtype=np.uint64)), mix64(np.arange(500, 500 + 2 * M_80 * R, dtype=np.uint64)) | np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -95,13 +97,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sets that are not empty: (sets, 2 * M) sketches, and two hashes of each whole set."""
+def sketches(sets: list[np.ndarray], m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sets that are not empty: (sets, 2 * m) sketches, and two hashes of each whole set."""
     flat = np.concatenate(sets)
     first = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    out = np.zeros((len(sets), 2 * M), np.uint64)
+    out = np.zeros((len(sets), 2 * m), np.uint64)
     with np.errstate(over="ignore"):
-        for h in range(2 * M * R):
+        for h in range(2 * m * R):
             least = np.minimum.reduceat((flat ^ _XOR[h]) * _TIMES[h], first)
             out[:, h // R] = mix64(out[:, h // R] + least + np.uint64(h))
         one = np.add.reduceat(flat, first)
@@ -109,7 +111,7 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return out, one, two
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", m: int = M) -> DataFrame:
     """(key, n, one, two, sketch): the size of the shingle set, its two hashes and its sketches (null if it is empty)."""
     bounded_batches(docs.sparkSession)
 
@@ -119,16 +121,16 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for b in batches:
             data, offsets = arrow_bytes(b.column(1))
             rows = b.num_rows
-            n, one, two, sketch = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros((rows, 2 * M), np.int64)
+            n, one, two, sketch = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros((rows, 2 * m), np.int64)
             for lo, hi in in_slices(np.diff(offsets).tolist(), SLICE):
                 sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 n[lo:hi] = [len(s) for s in sets]
                 own = lo + np.flatnonzero(n[lo:hi])
                 if len(own):
-                    s, x, y = sketches([sets[i - lo] for i in own])
+                    s, x, y = sketches([sets[i - lo] for i in own], m)
                     sketch[own], one[own], two[own] = s.view(np.int64), x.view(np.int64), y.view(np.int64)
             empty = n == 0
-            at = np.r_[0, np.cumsum(np.where(empty, 0, 2 * M))].astype(np.int32)
+            at = np.r_[0, np.cumsum(np.where(empty, 0, 2 * m))].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(sketch[~empty].ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(one), pa.array(two), lists], names=[key, "n", "one", "two", "sketch"])
 
@@ -200,13 +202,13 @@ def _meeting_keys(rest: np.ndarray, shared: int) -> np.ndarray:
     keys = [rest[: max(0, len(rest) - shared + 1)]] if 3 * shared <= 2 * len(rest) else []
     if 3 * shared >= len(rest) > 0:
         with np.errstate(over="ignore"):
-            least = ((rest.astype(np.uint64)[:, None] ^ _XOR) * _TIMES).min(axis=0).reshape(2 * M, R)
+            least = ((rest.astype(np.uint64)[:, None] ^ _XOR[: 2 * M * R]) * _TIMES[: 2 * M * R]).min(axis=0).reshape(2 * M, R)
             sketch = mix64(mix64(least + np.arange(R, dtype=np.uint64)).sum(axis=1) + np.arange(2 * M, dtype=np.uint64))
         keys.append(sketch.view(np.int64))
     return np.concatenate(keys) if keys else rest[:0]
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(c, node, more) with linked, size, room and adds. adds: shingles of node that c lacks, as many as a link between
     two members that does not rest on c must hit. room: the greatest size of a y that x & c alone may link with x."""
     one = pairs.join(sets, pairs["c"] == sets["x"]).select("c", "node", "more", F.col("xs").alias("cs"))
@@ -224,12 +226,12 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.searchsorted(c, x)
                 held = c[np.minimum(at, len(c) - 1)] == x if len(c) else np.zeros(len(x), bool)
                 m = int(held.sum())
-                link = 100 * m >= PERCENT * (len(c) + len(x) - m)
+                link = 100 * m >= percent * (len(c) + len(x) - m)
                 linked.append(link)
                 size.append(len(x))
-                room.append((100 * m) // PERCENT + m - len(x) if not link and 100 * m >= PERCENT * len(x) else None)
+                room.append((100 * m) // percent + m - len(x) if not link and 100 * m >= percent * len(x) else None)
                 if more[i]:
-                    adds.append(_meeting_keys(x[~held], max(1, -(-PERCENT * len(x) // 100) - m)))
+                    adds.append(_meeting_keys(x[~held], max(1, -(-percent * len(x) // 100) - m)))
                 else:
                     adds.append(None)
             cols = [b.column(0), b.column(1), b.column(2), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(room, pa.int64()), pa.array(adds, pa.list_(pa.int64()))]
@@ -238,7 +240,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "c long, node long, more boolean, linked boolean, size long, room long, adds array<long>")
 
 
-def table_groups(classes: DataFrame) -> DataFrame:
+def table_groups(classes: DataFrame, m: int = M) -> DataFrame:
     """(g, node, rank): the table keys of the classes (node, sketch), without those that surely are a node's own.
 
     A key can be shared only if both its sketches are. How many nodes share a node's sketches also ranks it: of a family
@@ -246,9 +248,9 @@ def table_groups(classes: DataFrame) -> DataFrame:
     """
     each = classes.select("node", F.posexplode("sketch").alias("i", "s"))
     shared = each.groupBy("i", "s").agg(F.count("*").alias("m")).filter("m > 1")
-    known = each.join(shared, ["i", "s"]).groupBy("node").agg(F.sum("m").alias("rank"), F.collect_list(F.struct("i", "s")).alias("own"))  # 2 * M at most
+    known = each.join(shared, ["i", "s"]).groupBy("node").agg(F.sum("m").alias("rank"), F.collect_list(F.struct("i", "s")).alias("own"))  # 2 * m at most
     rank = F.least("rank", F.lit(2**40)) * 2**20 + F.pmod(F.xxhash64("node"), F.lit(2**20))
-    one, two = F.filter("own", lambda x: x["i"] < M), F.filter("own", lambda x: x["i"] >= M)
+    one, two = F.filter("own", lambda x: x["i"] < m), F.filter("own", lambda x: x["i"] >= m)
     tables = known.select("node", rank.alias("rank"), F.explode(one).alias("one"), two.alias("two")).select("node", "rank", "one", F.explode("two").alias("two"))
     return tables.select(F.xxhash64("one.i", "one.s", "two.i", "two.s").alias("g"), "node", "rank")
 
@@ -267,7 +269,7 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return members.select("g", "node").join(other, "g").filter("c < node").select("c", "node").distinct().withColumn("more", F.lit(False))
 
 
-def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join the linked members of families (f, node), found by products of blocks of members.
 
     Members are dealt to blocks of about BLOCK by hash. A pair of blocks is one group of bounded size: which of its
@@ -295,7 +297,7 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             part = np.zeros((len(own), 2048), np.float32)
             part[row[s:e], column[s:e] - lo] = 1
             both += part @ part.T
-        linked = 100 * both.astype(np.int64) >= PERCENT * (size[:, None] + size[None, :] - both.astype(np.int64))
+        linked = 100 * both.astype(np.int64) >= percent * (size[:, None] + size[None, :] - both.astype(np.int64))
         np.fill_diagonal(linked, True)
         label, before = np.arange(len(own)), None
         while before is None or (label != before).any():
@@ -341,30 +343,32 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each document: the size of its set of distinct WORDS-word shingles (a
     shorter text is one shingle), the smallest id that links reach, and whether that is its own.
 
+    Sets link at a similarity of percent / 100 or more; below 80, candidates are found with less probability.
     Words are runs of what is no ASCII white space, A-Z folded. Null, empty or blank text: no shingles, no links. Null
     id: no links; component_id is null and kept true. Rows that repeat an id are one document in links, with the links
     of all their texts. Ties cannot occur: the smallest id is kept. Empty table: no rows. Further columns are ignored.
     """
-    sig = written(signatures(docs, key, text).withColumnRenamed(key, "_id"), "signatures")
+    m = M if percent >= PERCENT else M_80
+    sig = written(signatures(docs, key, text, m).withColumnRenamed(key, "_id"), "signatures")
     full = sig.filter("n > 0 and _id is not null").withColumn("_id", F.col("_id").cast("long"))
     classes = written(full.groupBy("n", "one", "two").agg(F.min("_id").alias("node"), F.any_value("sketch").alias("sketch")), "classes")
-    pairs = written(_star_pairs(table_groups(classes)), "pairs")
+    pairs = written(_star_pairs(table_groups(classes, m)), "pairs")
     nodes = pairs.select("node").unionByName(pairs.select(F.col("c").alias("node"))).distinct()
     sets = written(stored_sets(docs, nodes, key, text), "sets")
-    compared = written(_compare(pairs, sets), "compared")
+    compared = written(_compare(pairs, sets, percent), "compared")
     left = written(_next_groups(compared), "groups")
     sized = left.join(left.groupBy("g").agg(F.count("*").alias("m")), "g")
-    few = _compare(_small_pairs(sized.filter(F.col("m") <= SMALL)), sets)
+    few = _compare(_small_pairs(sized.filter(F.col("m") <= SMALL)), sets, percent)
     many = sized.filter(F.col("m") > SMALL).select("g", "node")
     heads = many.groupBy("g").agg(F.min("node").alias("b"))
     chained = components(many.join(heads, "g").select(F.col("node").alias("a"), "b"))
     families = chained.select(F.col("root").alias("f"), "node").unionByName(chained.select(F.col("root").alias("f"), F.col("root").alias("node"))).distinct()
     found = compared.filter("linked").unionByName(few.filter("linked")).select(F.col("c").alias("a"), F.col("node").alias("b"))
-    edges = found.unionByName(_block_links(families, sets))
+    edges = found.unionByName(_block_links(families, sets, percent))
     roots = components(edges)
     rows = sig.drop("sketch").join(classes.drop("sketch"), ["n", "one", "two"], "left").join(roots, "node", "left")
     kind = docs.schema[key].dataType
@@ -374,8 +378,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, one a document id; rows with a null id all stay."""
-    kept = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("_k")).filter("_k is not null").distinct()
+    kept = near_duplicates(docs, key, text, percent).filter("kept").select(F.col(key).alias("_k")).filter("_k is not null").distinct()
     found = docs.join(kept, docs[key] == kept["_k"], "left_semi").dropDuplicates([key])
     return found.unionByName(docs.filter(F.col(key).isNull()))

@@ -2,7 +2,8 @@
 
 import random
 
-from tessera.llm import toxicity
+import corpus_pipeline
+from tessera.llm import minhash, toxicity
 
 from test_ops import docs_of
 
@@ -17,3 +18,11 @@ def test_toxicity_uses_significant_grams_of_small_ratio(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(spark, [(1, "a moron"), (2, "a")]), model, ["doc_id"]).collect()}
     assert got[1] > 0.5 > got[2]
     assert (toxicity.MOST_ROWS, toxicity.MOST_FEATURES) == (30_000, 20_000)
+
+
+def test_pipeline_drops_copies_from_four_fifths_on(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    near = [*words[:94], *(f"x{i}" for i in range(10))]  # 90 shared of 110: 0.818
+    docs = docs_of(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"y{i}" for i in range(104)))])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+    assert sorted(r["component_id"] for r in minhash.near_duplicates(docs).collect()) == [1, 2, 3]
