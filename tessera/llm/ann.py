@@ -134,7 +134,10 @@ def nearest(
     rows = rows.select(F.col(key).cast("long").alias("_id"), F.col(vec).cast("array<float>").alias("_vec"), queries.alias("_query"), length2.alias("_n2"), F.size(vec).alias("_dims"))
     rows = written(rows.filter("_n2 > 0").dropDuplicates(["_id", "_vec"]), "vectors")
     out = None
-    for r in sorted(rows.groupBy("_dims").agg(F.count("*").alias("n"), F.max("_n2").alias("m")).limit(1000).collect()):
+    lengths = sorted(rows.groupBy("_dims").agg(F.count("*").alias("n"), F.max("_n2").alias("m")).limit(1001).collect())
+    if len(lengths) > 1000:
+        raise ValueError("vectors of more than 1,000 numbers of components")
+    for r in lengths:
         own, most = rows.filter(F.col("_dims") == r["_dims"]), float(np.sqrt(r["m"]))
         sample = own.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_vec").toArrow()
         x = np.asarray(sample.column("_vec").combine_chunks().flatten(), np.float64).reshape(-1, r["_dims"])

@@ -146,7 +146,10 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = written(rows.repartitionByRange(parts, F.desc("_n2")).sortWithinPartitions(F.desc("_n2")), "by-length")
     out = None
-    for dims in sorted(r["_dims"] for r in rows.filter("_query").select("_dims").distinct().limit(1000).collect()):
+    lengths = sorted(r["_dims"] for r in rows.filter("_query").select("_dims").distinct().limit(1001).collect())
+    if len(lengths) > 1000:
+        raise ValueError("vectors of more than 1,000 numbers of components")
+    for dims in lengths:
         own = rows.filter(F.col("_dims") == dims)
         asked = own.filter("_query").dropDuplicates(["_id"])
         top = own.orderBy(F.desc("_n2"), "_id").limit(HEAD).toPandas()

@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tessera.llm import minhash, toxicity
+from tessera.llm import ann, minhash, mips, toxicity
 
 from test_ops import docs_of
 
@@ -26,3 +29,10 @@ def test_pipeline_drops_copies_from_four_fifths_on(spark):
     docs = docs_of(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"y{i}" for i in range(104)))])
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
     assert sorted(r["component_id"] for r in minhash.near_duplicates(docs).collect()) == [1, 2, 3]
+
+
+def test_vectors_of_too_many_lengths_are_refused(spark):
+    rows = spark.range(1, 1002).select(F.col("id").alias("vec_id"), F.expr("array_repeat(cast(1 as float), cast(id as int))").alias("embedding"))
+    for search in (mips.exact_topk, ann.nearest):
+        with pytest.raises(ValueError, match="1,000"):
+            search(rows, F.lit(True), k=2)
