@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, new_path, with_small
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a range that one reader task scans.
-SPLIT = 16_000_000
+#: Bytes of a range that one reader task scans, bytes that it reads at once, and bytes of a member that it inflates at once
+#: (a header may not be longer).
+SPLIT, READ, MOST_HELD = 16_000_000, 1 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_ID, REFERS_TO = "X-Page-Id", "X-Refers-To-Page-Id"
@@ -119,57 +120,83 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 class _Range:
     """Bytes of an open file by their place, read in blocks."""
 
-    def __init__(self, file, block: int = 1 << 20) -> None:
-        self.file, self.block, self.at, self.data = file, block, 0, b""
+    def __init__(self, file, block: int) -> None:
+        self.file, self.block, self.at, self.data = file, max(block, len(MAGIC)), 0, b""
 
-    def get(self, start: int) -> bytes:
-        """Some bytes from start on (none at the end)."""
-        if not self.at <= start < self.at + len(self.data):
+    def _hold(self, start: int, least: int) -> int:
+        """Holds `least` bytes from start on, or all up to the file's end; returns their place in data."""
+        if not self.at <= start or start + least > self.at + len(self.data):
             self.file.seek(start)
-            self.at, self.data = start, self.file.read(self.block)
-        return self.data[start - self.at :]
-
-
-def _member_at(r: _Range, start: int) -> tuple[bytes, int] | None:
-    """The content and the end of the gzip member at start, if it is one that begins with a record header."""
-    d, out, at, checked = zlib.decompressobj(31), [], start, False
-    try:
-        while not d.eof:
-            chunk = r.get(at)
-            if not chunk:
-                return None
-            chunk = chunk[:65536]
-            out.append(d.decompress(chunk))
-            at += len(chunk)
-            if not checked and sum(map(len, out)) >= 5:
-                checked = True
-                if not b"".join(out).startswith(b"WARC/"):
-                    return None
-    except zlib.error:
+            parts, size = [], 0
+            while size < max(least, self.block) and (part := self.file.read(max(least, self.block) - size)):
+                parts.append(part)
+                size += len(part)
+            self.at, self.data = start, b"".join(parts)
+        return start - self.at
+
+    def get(self, start: int, most: int) -> memoryview:
+        """Up to `most` bytes from start on (none at the file's end), not copied."""
+        i = self._hold(start, 1)
+        return memoryview(self.data)[i : i + most]
+
+    def find(self, start: int, end: int) -> int | None:
+        """The first place in [start, end) at which MAGIC stands, whole, though it may reach beyond the end or a block."""
+        while start < end:
+            i = self._hold(start, len(MAGIC))
+            hit = self.data.find(MAGIC, i)
+            if hit >= 0:
+                return self.at + hit if self.at + hit < end else None
+            if len(self.data) - i < len(MAGIC):
+                return None  # the file ends
+            start = self.at + len(self.data) - len(MAGIC) + 1
         return None
-    return (b"".join(out), at - len(d.unused_data)) if checked else None
-
-
-def members(file, start: int, end: int):
-    """(place, content) of the members that begin in [start, end)."""
-    r, at = _Range(file), start
-    while at < end:
-        chunk = r.get(at)
-        if not chunk:
-            return
-        hit = chunk.find(MAGIC)
-        if hit < 0:
-            at += max(1, len(chunk) - len(MAGIC) + 1)
-            continue
-        at += hit
-        if at >= end:
-            return
-        found = _member_at(r, at)
-        if found is None:
-            at += 1
-            continue
-        yield at, found[0]
-        at = found[1]
+
+
+class _Member:
+    """A gzip member as a stream: some MB are inflated at a time."""
+
+    def __init__(self, r: _Range, start: int) -> None:
+        self.r, self.at, self.inflate, self.held = r, start, zlib.decompressobj(31), b""
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are held, after inflating more if need be. Bad or cut data raise an error."""
+        parts, size = [self.held], len(self.held)
+        while size < n and not self.inflate.eof:
+            raw = self.inflate.unconsumed_tail
+            if not raw:
+                raw = self.r.get(self.at, 65_536)
+                if not len(raw):
+                    raise zlib.error("the file ends within a member")
+                self.at += len(raw)
+            parts.append(self.inflate.decompress(raw, MOST_HELD))
+            size += len(parts[-1])
+        self.held = b"".join(parts)
+        return len(self.held) >= n
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What comes before mark, which is passed; None if it does not come within MOST_HELD bytes."""
+        n = 4096
+        while (at := self.held.find(mark)) < 0:
+            if not self.fill(n) or n > MOST_HELD:
+                at = self.held.find(mark)
+                break
+            n *= 2
+        if at < 0:
+            return None
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def take(self, n: int) -> bytes:
+        """Up to n bytes, some at least unless the member ends."""
+        self.fill(min(n, 65_536))
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def end(self) -> int:
+        """The place behind the member; the rest of it is inflated and checked first."""
+        while self.take(MOST_HELD):
+            pass
+        return self.at - len(self.inflate.unused_data)
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -181,23 +208,50 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
-def records(content: bytes):
-    """(headers, HTTP headers, payload) of the records of a member."""
-    at = 0
-    while content.startswith(b"WARC/", at):
-        head, _, _ = content[at:].partition(b"\r\n\r\n")
+def _records(m: _Member, payloads: bool):
+    """(headers, HTTP headers, payload length, its SHA-1, payload or None) of the records of a member. Nothing of a payload
+    is held unless payloads are wanted."""
+    while m.fill(5) and m.held.startswith(b"WARC/"):
+        head = m.upto(b"\r\n\r\n")
+        if head is None:
+            raise zlib.error("a record without an end of its header")
         headers = _headers(head)
-        size = int(headers.get("content-length") or 0)
-        begin = at + len(head) + 4
-        block = content[begin : begin + size]
-        http, payload = {}, block
+        left, http = int(headers.get("content-length") or 0), {}
+        digest, kept, size = hashlib.sha1(), [], 0
         if headers.get("content-type", "").startswith("application/http"):
-            top, _, payload = block.partition(b"\r\n\r\n")
+            m.fill(min(left, MOST_HELD))
+            at = m.held.find(b"\r\n\r\n", 0, left)
+            top = m.held[: at if at >= 0 else left]
+            m.held = m.held[at + 4 if at >= 0 else len(top) :]
+            left -= len(top) + (4 if at >= 0 else 0)
             http = _headers(top)
-        yield headers, http, payload
-        at = begin + size
-        while content[at : at + 2] == b"\r\n":
-            at += 2
+        while left > 0 and (part := m.take(left)):
+            left -= len(part)
+            size += len(part)
+            digest.update(part)
+            if payloads:
+                kept.append(part)
+        if left > 0:
+            raise zlib.error("a member that ends within a record")
+        yield headers, http, size, base64.b32encode(digest.digest()).decode(), b"".join(kept) if payloads else None
+        while m.fill(2) and m.held.startswith(b"\r\n"):
+            m.held = m.held[2:]
+
+
+def members(file, start: int, end: int, payloads: bool = True, block: int = READ):
+    """(place, records) of the members that begin in [start, end). A place counts if a record header decodes there and
+    the member is sound to its end; damaged and cut members are passed over."""
+    r, at = _Range(file, block), start
+    while (at := r.find(at, end)) is not None:
+        m = _Member(r, at)
+        try:
+            found = list(_records(m, payloads))
+            after = m.end() if found else at + 1
+        except (zlib.error, ValueError):
+            found, after = [], at + 1
+        if found:
+            yield at, found
+        at = after
 
 
 RECORD = "file string, offset long, record_type string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
@@ -206,7 +260,10 @@ RECORD = "file string, offset long, record_type string, headers map<string,strin
 def read_archives(spark: SparkSession, files: list[str], split: int = SPLIT, payloads: bool = True) -> DataFrame:
     """A row for each record of gzip archives: file, offset of its member, type, headers (lower-case names), payload and
     its length and SHA-1 in base 32. A revisit has no payload; its length and digest are those its headers state. Of a
-    response both are computed. Without payloads that column is null."""
+    response both are computed. Without payloads that column is null, and a payload is never held as a whole.
+
+    No files or empty files: no rows. A file that is listed twice gives its records twice. Members that are damaged, cut
+    or no WARC records are passed over. A record without a header that a column needs has null there."""
     spark_rows = []
     for f in files:
         store, at = _fs(f)
@@ -227,17 +284,15 @@ def read_archives(spark: SparkSession, files: list[str], split: int = SPLIT, pay
             for f, start, end in zip(*(c.to_pylist() for c in b.columns)):
                 store, place = _fs(f)
                 with store.open_input_file(place) as file:
-                    for offset, content in members(file, start, end):
-                        for headers, http, payload in records(content):
+                    for offset, found in members(file, start, end, payloads):
+                        for headers, http, size, digest, payload in found:
                             kind = headers.get("warc-type")
                             if kind == "revisit":
                                 size = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
-                                digest = headers.get("warc-payload-digest", "").rpartition(":")[2] or None
-                                payload = None
-                            else:
-                                size, digest = len(payload), sha1_base32(payload)
+                                digest, payload = headers.get("warc-payload-digest", "").rpartition(":")[2] or None, None
+                            elif payloads:
                                 held += size
-                            rows.append((f, offset, kind, list(headers.items()), size, digest, payload if payloads else None))
+                            rows.append((f, offset, kind, list(headers.items()), size, digest, payload))
                         if len(rows) >= 2000 or held > 8_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                             rows, held = [], 0

@@ -212,6 +212,46 @@ def test_warc_round_trip(spark, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == len(rows)
 
 
+@pytest.mark.parametrize("block", [3, 64, 1 << 20])
+def test_warc_members_at_every_place_around_a_block_and_a_split(block):
+    import io
+
+    def plain(raw):
+        """A sequential reader: one member after another."""
+        import zlib
+
+        at, out = 0, []
+        while at < len(raw):
+            d = zlib.decompressobj(31)
+            text = d.decompress(raw[at:])
+            out.append((at, text.partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2][:-4]))
+            at = len(raw) - len(d.unused_data)
+        return out
+
+    rng = random.Random(33)
+    for shift in range(-4, 5):
+        first = b""
+        while len(first) % 64 != (64 + shift) % 64:  # the second member begins `shift` bytes from a block's end
+            first = warc.member(warc.record(1, "u", rng.randbytes(rng.randint(0, 90))))
+        raw = first + b"".join(warc.member(warc.record(i, "u", rng.randbytes(rng.randint(0, 200)))) for i in range(2, 9))
+        want, starts = plain(raw), [p for p, _ in plain(raw)]
+        cuts = sorted({0, len(raw), *(min(len(raw), max(0, p + d)) for p in starts for d in range(-4, 5))})
+        got = [(p, records[0][4]) for s, e in zip(cuts, cuts[1:]) for p, records in warc.members(io.BytesIO(raw), s, e, block=block)]
+        assert got == want
+        assert [p for p, _ in warc.members(io.BytesIO(raw), 0, len(raw), payloads=False, block=block)] == starts
+
+
+def test_warc_damaged_and_long_members(spark, tmp_path):
+    good, long = warc.member(warc.record(1, "u", b"x")), warc.member(warc.record(2, "u", b"ab" * 3_000_000))
+    cut, bad = warc.member(warc.record(3, "u", b"y" * 500))[:-9], bytearray(warc.member(warc.record(4, "u", b"z" * 500)))
+    bad[-6] ^= 1
+    f = tmp_path / "x.warc.gz"
+    f.write_bytes(bytes(bad) + long + good + cut)
+    got = warc.read_archives(spark, ["file://" + str(f)], 1000, payloads=False).collect()
+    assert sorted((r["headers"]["x-page-id"], r["payload_bytes"]) for r in got) == [("1", 1), ("2", 6_000_000)]
+    assert next(r for r in got if r["payload_bytes"] > 1)["payload_digest"] == warc.sha1_base32(b"ab" * 3_000_000)
+
+
 def test_warc_empty_table_and_false_magic(spark, tmp_path):
     assert warc.through_archives(pages_of(spark, []).limit(0)).count() == 0
     good = warc.member(warc.record(1, "u", b"x"))
