@@ -2,7 +2,9 @@
 
 Each curve is a Hilbert ordering of randomly projected and shifted vectors. Rows and queries of all curves are
 range-partitioned together by (curve, place on it); each row's rank within its curve follows. A query meets the rows of
-the blocks of ranks that its window touches, in every curve, and what it meets is ranked by the exact inner product.
+the blocks of ranks that its window touches, in every curve. Along the curves a vector travels as one byte a component;
+the windows of all curves merge to a few times k rows a query, and these are reranked by the exact inner product of the
+vectors as they are.
 
 For the largest inner product rather than the smallest distance, rows get one more coordinate, sqrt(M^2 - |x|^2) with M
 the greatest length, and queries are scaled to length M with that coordinate 0.
@@ -18,14 +20,16 @@ from pyspark.sql.window import Window
 
 from .common import global_rank, written
 from .hilbert import hilbert_index
-from .mips import keep_best, matrix, usable
+from .mips import by_blocks, common_lengths, keep_best, matrix, usable
 
-CURVES, DIMS, BITS = 16, 8, 7
+CURVES, DIMS, BITS = 32, 12, 5
 #: A window is this share of the rows to both sides, and LEAST_WINDOW rows at least. Vectors without structure in many
 #: dimensions need windows in proportion to the table for a given recall; where there is structure, pass a fixed window.
-WINDOW_SHARE, LEAST_WINDOW = 0.035, 256
-#: Rows of a block, and rows from which the grid of the curves is measured.
-BLOCK, SAMPLE = 2_048, 20_000
+WINDOW_SHARE, LEAST_WINDOW = 0.0105, 128
+#: A window is so many blocks long to either side; rows from which the grid of the curves is measured.
+BLOCKS_A_SIDE, SAMPLE = 2, 20_000
+#: Rows a query that the merged windows keep for the exact product, as a multiple of k.
+RERANK = 4
 
 
 class Curves:
@@ -57,26 +61,31 @@ def lifted(x: np.ndarray, is_query: np.ndarray, most: float) -> np.ndarray:
 
 
 def _placed(rows: DataFrame, curves: Curves, most: float) -> DataFrame:
-    """(curve, key, id, vec, query): each row once a curve, and each query once more."""
+    """(curve, key, id, query, scale, code): each row once a curve, and each query once more. scale * code is the vector,
+    rounded to 255 steps a component."""
     shared = rows.sparkSession.sparkContext.broadcast(curves)
 
     def place(batches):
         for pdf in batches:
             x = matrix(pdf["_vec"])
+            scale = np.abs(x).max(axis=1) / 127
+            code = np.rint(x / scale[:, None]).astype(np.int8)
+            packed = np.array([c.tobytes() for c in code], object)
             for query, own in ((False, np.arange(len(x))), (True, np.flatnonzero(pdf["_query"].to_numpy(bool)))):
                 if len(own):
                     keys = shared.value.keys(lifted(x[own], np.full(len(own), query), most))
                     for c in range(keys.shape[1]):
-                        yield pd.DataFrame({"curve": np.int32(c), "key": keys[:, c], "_id": pdf["_id"].to_numpy()[own], "_vec": pdf["_vec"].to_numpy()[own], "_query": query})
+                        yield pd.DataFrame({"curve": np.int32(c), "key": keys[:, c], "_id": pdf["_id"].to_numpy()[own], "_query": query, "_scale": scale[own].astype(np.float32), "_code": packed[own]})
 
-    return rows.select("_id", "_vec", "_query").mapInPandas(place, "curve int, key long, _id long, _vec array<float>, _query boolean")
+    return rows.select("_id", "_vec", "_query").mapInPandas(place, "curve int, key long, _id long, _query boolean, _scale float, _code binary")
 
 
 def _search(blocks: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query among those it meets in the blocks of a partition; blocks are sorted."""
+    """(query_id, vec_id, near): the k best rows of each query among those it meets in the blocks of a partition, by
+    rounded vectors; blocks are sorted."""
 
     def search(batches):
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         pending: list[pd.DataFrame] = []
 
         def closed(pdf: pd.DataFrame) -> None:
@@ -84,7 +93,8 @@ def _search(blocks: DataFrame, k: int) -> DataFrame:
             is_query = pdf["_query"].to_numpy(bool)
             if is_query.all() or not is_query.any():
                 return
-            ids, x = pdf["_id"].to_numpy(np.int64), matrix(pdf["_vec"])
+            ids = pdf["_id"].to_numpy(np.int64)
+            x = np.frombuffer(b"".join(pdf["_code"]), np.int8).reshape(len(pdf), -1) * pdf["_scale"].to_numpy(np.float32)[:, None]
             q_ids, q, c_ids, c = ids[is_query], x[is_query], ids[~is_query], x[~is_query]
             for i in range(0, len(q_ids), 512):
                 scores = q[i : i + 512] @ c.T
@@ -104,9 +114,9 @@ def _search(blocks: DataFrame, k: int) -> DataFrame:
                 pending.append(pdf.iloc[s:e].assign(_group=group[s]))
         if pending:
             closed(pd.concat(pending))
-        yield pd.DataFrame({"query_id": best[0], "vec_id": best[1], "score": best[2]})
+        yield pd.DataFrame({"query_id": best[0], "vec_id": best[1], "near": best[2].astype(float)})
 
-    return blocks.mapInPandas(search, "query_id long, vec_id long, score double")
+    return blocks.mapInPandas(search, "query_id long, vec_id long, near double")
 
 
 def _distinct_best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
@@ -117,6 +127,19 @@ def _distinct_best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: in
     return keep_best(query[new], ids[new], scores[new], k)
 
 
+def _reranked(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of pairs by the inner product of the vectors as they are, summed in
+    their order as doubles, so that the same pair has the same score in every run. Of an id with several vectors the
+    nearest counts."""
+    a = rows.filter("_query").select(F.col("_id").alias("query_id"), F.col("_vec").alias("_a"))
+    b = rows.select(F.col("_id").alias("vec_id"), F.col("_vec").alias("_b"))
+    product = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("query_id", "vec_id").distinct().join(a, "query_id").join(b, "vec_id").filter("size(_a) = size(_b)")
+    scored = scored.select("query_id", "vec_id", product.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(
     vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec: str = "embedding", curves: int = CURVES, window: int | None = None, window_share: float = WINDOW_SHARE
 ) -> DataFrame:
@@ -125,35 +148,37 @@ def nearest(
     measured on SAMPLE rows at most. window: rows to each side on a curve; else window_share of all rows.
 
     Rows take no part whose vector is null, zero or holds null or non-finite components, and rows with a null id.
-    Vectors meet only those of their own number of components. Rows with the query's id are its own row. Repeated rows
-    count once. Empty table: no rows. Further columns are ignored.
+    Vectors meet only those of their own number of components; all but the most common numbers are searched without an
+    index, in blocks. Rows with the query's id are its own row. Repeated rows count once. Empty table: no rows. Further
+    columns are ignored.
     """
     spark = vectors.sparkSession
     length2 = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     rows = vectors.filter(usable(F.col(vec)) & F.col(key).isNotNull())
-    rows = rows.select(F.col(key).cast("long").alias("_id"), F.col(vec).cast("array<float>").alias("_vec"), queries.alias("_query"), length2.alias("_n2"), F.size(vec).alias("_dims"))
+    rows = rows.select(F.col(key).cast("long").alias("_id"), F.col(vec).alias("_vec"), queries.alias("_query"), length2.alias("_n2"), F.size(vec).alias("_dims"))
     rows = written(rows.filter("_n2 > 0").dropDuplicates(["_id", "_vec"]), "vectors")
-    out = None
-    lengths = sorted(rows.groupBy("_dims").agg(F.count("*").alias("n"), F.max("_n2").alias("m")).limit(1001).collect())
-    if len(lengths) > 1000:
-        raise ValueError("vectors of more than 1,000 numbers of components")
-    for r in lengths:
-        own, most = rows.filter(F.col("_dims") == r["_dims"]), float(np.sqrt(r["m"]))
-        sample = own.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_vec").toArrow()
-        x = np.asarray(sample.column("_vec").combine_chunks().flatten(), np.float64).reshape(-1, r["_dims"])
+    found = None
+    lengths, others = common_lengths(rows)
+    for dims, n in lengths:
+        own = rows.filter(F.col("_dims") == dims)
+        most = float(np.sqrt(own.agg(F.max("_n2")).first()[0]))
+        sample = own.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select(F.col("_vec").cast("array<double>").alias("_vec")).toArrow()
+        x = np.asarray(sample.column("_vec").combine_chunks().flatten(), np.float64).reshape(-1, dims)
         measured = Curves(lifted(x, np.zeros(len(x), bool), most), curves)
-        side = window if window is not None else max(LEAST_WINDOW, int(np.ceil(window_share * r["n"])))
-        size = min(BLOCK, side)
+        side = window if window is not None else max(LEAST_WINDOW, int(np.ceil(window_share * n)))
+        size = max(1, -(-side // BLOCKS_A_SIDE))
         ranked = global_rank(_placed(own, measured, most), ["curve", "key", "_id", "_query"], "_rank", "curves")
         first, last = F.expr(f"(_rank - {side}) div {size}"), F.expr(f"(_rank + {side}) div {size}")
         block = F.when(F.col("_query"), F.sequence(F.greatest(first, F.lit(0)), last)).otherwise(F.array(F.expr(f"_rank div {size}")))
-        met = ranked.select("curve", F.explode(block).alias("block"), "_query", "_id", "_vec")
+        met = ranked.select("curve", F.explode(block).alias("block"), "_query", "_id", "_scale", "_code")
         met = met.repartition("curve", "block").sortWithinPartitions("curve", "block")
-        found = _search(met, k)
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        found = found.select("query_id", "rank", "vec_id", "score")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return out
+        w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+        merged = _search(met, RERANK * k).groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
+        merged = merged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= RERANK * k).select("query_id", "vec_id")
+        found = merged if found is None else found.unionByName(merged)
+    if others is not None:
+        rest = by_blocks(others, k)
+        found = rest if found is None else found.unionByName(rest)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return _reranked(found, rows, k)

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: A word of the contracts: a run of anything but the ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: What parts them.
+SPACES = "[\\x20\\x09-\\x0D]+"
 
 #: A table of at most so many rows counts as small enough to be broadcast (checked by a count).
 BROADCAST_ROWS = 50_000
@@ -57,6 +59,24 @@ def remove(spark: SparkSession, df_or_path) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, or name with underscores behind it, so that no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, **made: Column) -> DataFrame:
+    """(_row, *made): the whole row as one struct beside new columns, so that no name of its columns can clash."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("_row"), *(c.alias(n) for n, c in made.items()))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows that packed() put into _row."""
+    return df.select(*(F.col("_row")[c].alias(c) for c in columns))
+
+
 def with_small(df: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Joins df with a table that has one row a key. It is broadcast only if a count shows that it is small; beyond
     that, keys are salted on both sides, so that a hot key is split among `salts` tasks."""

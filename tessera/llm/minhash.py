@@ -15,12 +15,14 @@ memory.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, bounded_batches, in_slices, mix64, words_of, written
+from .common import SPACES, arrow_bytes, bounded_batches, in_slices, mix64, packed, unpacked, words_of, written
 
 #: Sketches of each collection, and minhashes of a sketch: a pair at similarity 0.85 meets in some table with
 #: probability (1 - (1 - 0.85 ** R) ** M) ** 2 = 0.999, one at 0.9 with 0.9999.
@@ -379,7 +381,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, one a document id; rows with a null id all stay."""
-    kept = near_duplicates(docs, key, text, percent).filter("kept").select(F.col(key).alias("_k")).filter("_k is not null").distinct()
-    found = docs.join(kept, docs[key] == kept["_k"], "left_semi").dropDuplicates([key])
-    return found.unionByName(docs.filter(F.col(key).isNull()))
+    """The rows of docs that near_duplicates() keeps. Rows with a null id all stay.
+
+    Of rows that repeat a kept id, those with the same words (A-Z folded) are one row: the one whose columns hash least
+    stays, whatever the partitioning. Rows with that id and other words all stay, as they repeat nothing. Null, empty or
+    blank texts of one id have the same words. Empty table: no rows. Columns of any other name stay as they are.
+    """
+    found = near_duplicates(docs, key, text, percent).filter(F.col("component_id").isNotNull())
+    kept = found.filter("kept").groupBy(F.col(key).alias("_key")).agg((F.count("*") > 1).alias("_many"))
+    rows = packed(docs, _id=docs[key], _order=F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant"))))
+    stay = rows.join(kept, rows["_id"] == kept["_key"])
+    once = stay.filter("not _many").select("_row")
+    same = F.sha2(F.trim(F.regexp_replace(F.translate(F.coalesce(F.col("_row")[text].cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), SPACES, " ")), 256)
+    many = stay.filter("_many").groupBy("_id", same.alias("_same")).agg(F.min_by("_row", "_order").alias("_row")).select("_row")
+    return unpacked(once.unionByName(many), docs.columns).unionByName(docs.filter(docs[key].isNull()))

@@ -21,6 +21,8 @@ from .common import global_rank, written
 WAVE = 16_384
 #: Longest vectors that give each query its first threshold, and rows of a bucket.
 HEAD, BUCKET = 2_048, 1_024
+#: So many numbers of components, the most common ones, are searched by buckets or curves; vectors of others in plain blocks.
+LENGTHS = 64
 #: From this local cosine on, pruning by a coordinate pays.
 COORDINATE_FROM = 0.6
 #: Float bounds prune only what is below the threshold by more than this part.
@@ -47,6 +49,39 @@ def keep_best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
     return query[keep], ids[keep], scores[keep]
 
 
+def common_lengths(rows: DataFrame) -> tuple[list[tuple[int, int]], DataFrame | None]:
+    """The most common numbers of components (_dims) of rows that hold a query, as (number, rows), and the rows that have
+    another one (None if there are none)."""
+    most = LENGTHS
+    counts = rows.groupBy("_dims").agg(F.count("*").alias("n"), F.max(F.col("_query").cast("int")).alias("q")).filter("q = 1")
+    found = [(r["_dims"], r["n"]) for r in counts.orderBy(F.desc("n"), "_dims").limit(most).collect()]
+    others = rows.join(counts.select("_dims"), "_dims", "left_semi").filter(~F.col("_dims").isin([d for d, _ in found]))
+    return found, others if len(found) == most and not others.isEmpty() else None
+
+
+def by_blocks(rows: DataFrame, k: int, part: int = 4_096) -> DataFrame:
+    """(query_id, vec_id) of the k best rows of each query of rows (_id, _vec, _query, _dims) with as many components, in
+    each part of about `part` rows, ties to the smaller id: every row meets every query of its number of components, in
+    parts of bounded size. For numbers of components that few rows have."""
+    n = F.ceil(F.col("n") / part).cast("int")
+    known = rows.join(rows.groupBy("_dims").agg(F.count("*").alias("n")).select("_dims", n.alias("_n")), "_dims")
+    parted = known.select("_dims", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int").alias("_p"), "_id", "_vec")
+    asked = known.filter("_query").select(*(F.col(c).alias(c) for c in ("_dims", "_id", "_vec")), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_p"))
+
+    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(q) and len(c):
+            ids, x = c["_id"].to_numpy(np.int64), matrix(c["_vec"])
+            for i in range(0, len(q), 512):
+                own, scores = q["_id"].to_numpy(np.int64)[i : i + 512], matrix(q["_vec"].iloc[i : i + 512]) @ x.T
+                a, b = np.nonzero(own[:, None] != ids[None, :])
+                best = keep_best(own[a], ids[b], scores[a, b], k)
+                found = tuple(np.r_[x, y] for x, y in zip(found, best))
+        return pd.DataFrame({"query_id": found[0], "vec_id": found[1]})
+
+    return asked.groupBy("_dims", "_p").cogroup(parted.groupBy("_dims", "_p")).applyInPandas(search, "query_id long, vec_id long")
+
+
 class Searcher:
     """Running top-k of a wave of queries over buckets of rows, in one task."""
 
@@ -131,6 +166,16 @@ def _wave(vectors: DataFrame, q_ids: np.ndarray, q: np.ndarray, head_ids: np.nda
     return best.select("query_id", "rank", "vec_id", "score")
 
 
+def _scored(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of pairs by the product of their vectors."""
+    a = rows.filter("_query").dropDuplicates(["_id"]).select(F.col("_id").alias("query_id"), F.col("_vec").alias("_a"))
+    b = rows.select(F.col("_id").alias("vec_id"), F.col("_vec").alias("_b"))
+    product = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).cast("long")
+    scored = pairs.distinct().join(a, "query_id").join(b, "vec_id").filter("size(_a) = size(_b)").select("query_id", "vec_id", product.alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vec: str = "embedding", wave: int = WAVE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which `queries` holds, the k other rows with the greatest inner
     product of components floor(scale * x); ties go to the smaller id. Products are exact while they stay below 2 ** 53.
@@ -146,10 +191,8 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = written(rows.repartitionByRange(parts, F.desc("_n2")).sortWithinPartitions(F.desc("_n2")), "by-length")
     out = None
-    lengths = sorted(r["_dims"] for r in rows.filter("_query").select("_dims").distinct().limit(1001).collect())
-    if len(lengths) > 1000:
-        raise ValueError("vectors of more than 1,000 numbers of components")
-    for dims in lengths:
+    lengths, others = common_lengths(rows)
+    for dims, _ in lengths:
         own = rows.filter(F.col("_dims") == dims)
         asked = own.filter("_query").dropDuplicates(["_id"])
         top = own.orderBy(F.desc("_n2"), "_id").limit(HEAD).toPandas()
@@ -163,6 +206,8 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256
             found = _wave(own, q_ids, q, head_ids, head, k)
             found = found if waves == 1 else written(found, "found")
             out = found if out is None else out.unionByName(found)
+    if others is not None:
+        out = _scored(by_blocks(others, k), others, k) if out is None else out.unionByName(_scored(by_blocks(others, k), others, k))
     if out is None:
         out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, global_rank, with_small, written
+from .common import WORD, global_rank, packed, unpacked, with_small, written
 
 #: The hash has 60 bits, refined 12 bits at a time.
 HASH_BITS, STEP_BITS = 60, 12
@@ -87,9 +87,11 @@ def _thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
             return done
 
 
-def _keyed(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    skey = F.when(F.col(source).isNull(), "b").otherwise(F.concat(F.lit("a"), F.col(source).cast("string")))
-    return docs.withColumns({"_skey": skey, "_size": word_count(F.col(text)), "_h": id_hash(F.col(key))})
+def _keyed(docs: DataFrame, key: str, source: str, text: str, kept: bool = False) -> DataFrame:
+    """(_id, _skey, _size, _h) of each row and, if kept, the row itself as _row."""
+    skey = F.when(docs[source].isNull(), "b").otherwise(F.concat(F.lit("a"), docs[source].cast("string")))
+    made = packed(docs, _id=docs[key], _skey=skey, _size=word_count(docs[text]), _h=id_hash(docs[key]))
+    return made if kept else made.drop("_row")
 
 
 def mix_goals(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, key: str, source: str, text: str) -> DataFrame:
@@ -130,8 +132,7 @@ def mix(
     Repeated rows are documents of their own with equal hashes. Empty table: no rows. Further columns are ignored.
     """
     goals = mix_goals(docs, weights, share, most, key, source, text)
-    rows = _keyed(docs.select(key, source, text), key, source, text).select(F.col(key).alias("_id"), "_skey", "_size", "_h")
-    joined = with_small(rows, goals, "_skey")
+    joined = with_small(_keyed(docs, key, source, text), goals, "_skey")
     return joined.select(F.col("_id").alias(key), F.col("_size").alias("size"), "source_size", "target", _taken(whole_documents).alias("taken"))
 
 
@@ -146,10 +147,11 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (whole documents; those that it does not take go).
 
-    A document without words is kept once, whatever its source's share. Same nulls and ties as mix().
+    A document without words is kept once, whatever its source's share. Nulls, ties, repeated rows and empty tables as
+    for mix(). Columns of any other name stay as they are.
     """
     goals = mix_goals(docs, weights, share, most, key, source, text)
-    rows = with_small(_keyed(docs, key, source, text), goals, "_skey")
+    rows = with_small(_keyed(docs, key, source, text, kept=True), goals, "_skey")
     times = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(1).cast("int")
     rows = rows.withColumn("_taken", _taken(True)).withColumn("_times", times).filter("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(rows[c] for c in docs.columns))
+    return unpacked(rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))), docs.columns)

@@ -9,6 +9,8 @@ sequences are the runs of words that hold a digit or one of a few signs, with up
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -408,8 +410,14 @@ def spans_of(field: Field, data: np.ndarray, offsets: np.ndarray) -> list[list[t
     at = np.flatnonzero(hit[data])
     for d in np.unique(np.searchsorted(offsets, at, side="right") - 1):
         found[d] = base_spans(data[offsets[d] : offsets[d + 1]].tobytes())
+    known: dict[int, tuple[list[int], list[int]]] = {}  # of a text's spans so far: the starts, and the furthest end up to each
     for d, s, k, e in added_spans(field, data, offsets):
-        if not any(s < y and x < e for x, _, y in found[d]):
+        if d not in known:
+            base = sorted((x, y) for x, _, y in found[d])
+            known[d] = [x for x, _ in base], list(accumulate((y for _, y in base), max))
+        starts, furthest = known[d]
+        i = bisect_left(starts, e)
+        if not i or furthest[i - 1] <= s:
             found[d].append((s, k, e))
     rest = np.r_[0, np.cumsum((data & 0xC0) == 0x80)]
     for d, spans in enumerate(found):
@@ -448,7 +456,8 @@ def find(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
 
 def redact(docs: DataFrame, field: Field, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with each span replaced by its kind in brackets; overlapping spans become one. The columns stay; `length`,
-    if it is a column, becomes the new number of code points where the text has changed. Null texts stay null."""
+    if it is a column, becomes the new number of code points where the text has changed. Null texts stay null, empty ones
+    empty. Repeated rows change alike. Empty table: no rows. Further columns of any name stay as they are."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(field)

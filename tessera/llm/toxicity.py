@@ -10,8 +10,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_bytes, bounded_batches, in_slices, mix64, written
+from .common import arrow_bytes, bounded_batches, free_name, in_slices, mix64, written
 
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 19
@@ -116,7 +117,10 @@ def _regression(sizes: np.ndarray, feature: np.ndarray, y: np.ndarray, scale: np
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> Classifier:
     """Fits a classifier to the texts that have a label (0 or 1), most_rows of them at most; of conflicting labels of a
-    document the greater counts. Without labels of both classes all scores are 0 (or 1, if all labels are 1)."""
+    document the greater counts. Without labels of both classes all scores are 0 (or 1, if all labels are 1).
+
+    Null labels and null keys of labels are left out; null texts count as empty. Rows of docs that repeat a labelled key
+    are all read. Empty tables: as without labels. Further columns are ignored."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
@@ -155,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Classifier(place, weight, bias)
 
 
-def score(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs, and `score` from 0 to 1.
+def score(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns `keep` of docs, and `name` (no column of keep) from 0 to 1.
 
     A null or empty text gets the score of a text without any feature. Repeated rows and null keys are rows like others.
     Empty table: no rows. Further columns are ignored.
@@ -164,7 +168,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias("_text"))
+    rows = docs.select(*(docs[f"`{c}`"] for c in keep), docs[text].cast("string").alias(free_name(keep, "_text")))
 
     def run(batches):
         import pyarrow as pa
@@ -174,10 +178,9 @@ def score(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text
             scores = [np.zeros(0)]
             for lo, hi in in_slices(np.diff(offsets).tolist(), SLICE):
                 scores.append(shared.value.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(scores))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(scores))], names=[*keep, name])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())]))
 
 
 def held_out(key: str):

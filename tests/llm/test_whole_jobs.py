@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -31,8 +30,24 @@ def test_pipeline_drops_copies_from_four_fifths_on(spark):
     assert sorted(r["component_id"] for r in minhash.near_duplicates(docs).collect()) == [1, 2, 3]
 
 
-def test_vectors_of_too_many_lengths_are_refused(spark):
-    rows = spark.range(1, 1002).select(F.col("id").alias("vec_id"), F.expr("array_repeat(cast(1 as float), cast(id as int))").alias("embedding"))
-    for search in (mips.exact_topk, ann.nearest):
-        with pytest.raises(ValueError, match="1,000"):
-            search(rows, F.lit(True), k=2)
+def test_vectors_of_any_number_of_lengths(spark, monkeypatch):
+    """1,001 numbers of components, three vectors each, two of them by the index."""
+    monkeypatch.setattr(mips, "LENGTHS", 2)
+    rng, rows = random.Random(5), []
+    for dims in range(1, 1002):
+        rows += [(3 * dims + j, [rng.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(dims)]) for j in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    by = {}
+    for i, v in rows:
+        by.setdefault(len(v), []).append((i, v))
+    product = lambda v, w: sum(x * y for x, y in zip(v, w))
+    want = {}
+    for group in by.values():
+        for i, v in group:
+            if i % 3 == 0:
+                want[i] = [j for _, j in sorted((-product(v, w), j) for j, w in group if j != i)]
+    for search in (lambda: mips.exact_topk(frame, F.col("vec_id") % 3 == 0, k=2, scale=2), lambda: ann.nearest(frame, F.col("vec_id") % 3 == 0, k=2)):
+        got = {}
+        for r in search().orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == want
