@@ -1,15 +1,18 @@
 """Suffix-array deduplication: bytes covered by a long string that also starts elsewhere go.
 
-Which suffixes meet in a shard is decided by anchors: of each window of LENGTH bytes, the place whose GRAM-byte hash is
-least. Equal windows have equal anchors, so only windows whose anchor's hash occurs again can repeat. Consecutive windows
-with one anchor are a segment. Segments that occur again as a whole are repeated; of the rest, and of one copy of those,
-the suffixes are sorted by shards of anchor hashes, and neighbours in the order that agree in LENGTH bytes are repeated.
+Which suffixes meet in a shard is decided by anchors. A window begins at any byte and ends LENGTH bytes or WORDS words
+later, whichever comes first; its anchor is the place in it whose GRAM-byte hash is least. Equal strings of LENGTH bytes
+have equal windows, and equal windows have equal anchors, so only windows whose anchor's hash occurs again can repeat.
+Consecutive windows with one anchor are a segment. Segments that occur again as a whole are repeated; of the rest, and of
+one copy of those, the suffixes are sorted by shards of anchor hashes.
 
 A shard is sorted by induced sorting on disk: suffixes whose first byte is greater than the next (or that precede one like
 it) are pushed, in the order of the suffix behind them, to a queue of their first byte, from the least byte to the
-greatest; then the others likewise in reverse. Queues are files read in blocks, so that a shard's text, types, queues and
-marks stay on disk. The seeds, which start the first pass, are put in order by sorting their substrings the same way and
-then by doubling their names.
+greatest; then the others likewise in reverse. What is pushed is a tuple of a suffix and of its common prefix with the one
+pushed before it to that queue: one byte more than the least common prefix that was scanned between both. Neighbours in
+the order whose common prefix reaches a window's length hold the same window; no hash is trusted there. Queues are files
+read in blocks, and a shard's text, types, windows and marks are files too. The seeds, which start the first pass, are put
+in order by sorting their substrings the same way and then by doubling their names.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, bounded_batches, in_slices, mix64, written
+from .common import IS_SPACE, arrow_bytes, bounded_batches, in_slices, mix64, remove, words_of, written
 
-LENGTH, GRAM = 400, 32
+#: A passage of another document counts from WORDS words on (or LENGTH bytes, if these are fewer). A gram may not be longer
+#: than the shortest window: 2 * WORDS - 1 bytes.
+LENGTH, WORDS, GRAM = 400, 51, 96
 SLICE, PIECE = 500_000, 8_000_000
-BLOCK, STRETCH = 1 << 18, 1 << 20
+BLOCK, STRETCH = 1 << 17, 1 << 20
 #: Bits of the filter of repeated anchors: BITS_EACH an anchor, MOST_BITS (16 MB) at most, which bounds its broadcast.
 BITS_EACH, MOST_BITS = 16, 2**27
 
@@ -57,114 +62,162 @@ class Hashes:
             return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
-def hashes_of(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, lut: np.ndarray) -> np.ndarray:
-    """Hashes of parts of t with ascending starts and ends, a stretch of t at a time."""
-    out, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):
-        lo = int(starts[at])
-        upto = max(at + 1, int(np.searchsorted(ends, lo + STRETCH, side="right")))
-        own = Hashes(t[lo : int(ends[upto - 1])], lut)
-        out[at:upto] = own.of(starts[at:upto] - lo, ends[at:upto] - lo)
-        at = upto
+def windows(x: np.ndarray, offsets: np.ndarray, length: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of texts: the end of the window that begins there (0 if none fits into its text), its text's end, and
+    whether a word begins there. words 0: windows of `length` bytes only."""
+    n = len(x)
+    place, none = np.arange(n), np.iinfo(np.int64).max
+    upto = np.repeat(offsets[1:], np.diff(offsets))
+    end = np.where(place + length <= upto, place + length, none)
+    begins = np.zeros(n, bool)
+    if words:
+        starts, ends, _ = words_of(x, offsets)
+        begins[starts] = True
+        passed = np.zeros(n + 1, np.int64)
+        passed[ends] = 1
+        at = np.cumsum(passed)[:n] + words - 1  # the place of the window's last word among all
+        last = np.r_[ends, np.full(words, none)][at]
+        end = np.minimum(end, np.where(last <= upto, last, none))
+    end[end == none] = 0
+    return end, upto, begins
+
+
+def _least(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The least of values[start : start + n] for each pair, n from 1 on."""
+    out = np.empty(len(start), values.dtype)
+    level = np.frexp(n.astype(float))[1] - 1
+    table = values
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        if k:
+            half = 1 << (k - 1)
+            table = np.minimum(table[:-half], table[half:])
+        own = np.flatnonzero(level == k)
+        if len(own):
+            out[own] = np.minimum(table[start[own]], table[start[own] + n[own] - (1 << k)])
     return out
 
 
-def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, hashed: bool = True):
-    """(text, first window, last window, anchor hash, two hashes) of the segments of texts; places are in x. The two
-    hashes are left out (empty) unless hashed."""
+def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, words: int = WORDS, gram: int = GRAM, hashed: bool = True):
+    """Of texts: (text, first window, last window, end, has, begins, anchor hash, two hashes) of their segments; places are
+    in x. end: of the bytes that count, `length` from the last window's begin if the text is so long. has: a word begins
+    at one of its windows; begins: at its first. The two hashes are left out (empty) unless hashed."""
     empty = np.zeros(0, np.uint64)
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), empty, empty, empty
-    if len(x) < length:
+    none = *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool), np.zeros(0, bool), empty, empty, empty
+    gram = min(gram, length, 2 * words - 1) if words else min(gram, length)
+    if len(x) < gram:
+        return none
+    end, upto, begins = windows(x, offsets, length, words)
+    fits = np.flatnonzero(end)
+    if not len(fits):
         return none
     one = Hashes(x, _LUT[0])
     n_grams = len(x) - gram + 1
     with np.errstate(over="ignore"):
         grams = mix64((one.sums[gram:] - one.sums[:n_grams]) * one.inverse[:n_grams])
     packed = (grams & ~np.uint64(2**24 - 1)) | np.arange(n_grams, dtype=np.uint64)
-    w = length - gram + 1
-    n = n_grams - w + 1
-    # least of each window: the least to the end of its block of w and from the next block's begin
-    blocks = np.full(-(-n_grams // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    blocks[:n_grams] = packed
-    blocks = blocks.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    anchor = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64(2**24 - 1)).astype(np.int64)
-    fits = np.ones(n + 1, bool)
-    for o in offsets[1:].tolist():  # windows that reach over a text's end
-        fits[max(0, o - length + 1) : min(n, o)] = False
-    fits[n] = False
-    new = fits.copy()
-    new[1:] &= ~fits[:-1] | np.r_[anchor[1:] != anchor[:-1], True]
-    s0 = np.flatnonzero(new)
-    if not len(s0):
-        return none
-    last = fits[:-1] & (new[1:] | ~fits[1:])
-    s1 = np.flatnonzero(last)
-    text = np.searchsorted(offsets, s0, side="right") - 1
+    anchor = (_least(packed, fits, end[fits] - gram - fits + 1) & np.uint64(2**24 - 1)).astype(np.int64)
+    text = np.searchsorted(offsets, fits, side="right") - 1
+    new = np.r_[True, (np.diff(fits) != 1) | (np.diff(anchor) != 0) | (np.diff(text) != 0)]
+    first, last = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True])
+    s0, s1, text, anchor = fits[first], fits[last], text[first], anchor[first]
+    stop = np.minimum(s1 + length, upto[s1])
+    seen = np.r_[0, np.cumsum(begins)]
+    has = seen[s1 + 1] > seen[s0]
     if not hashed:
-        return text, s0, s1, grams[anchor[s0]], empty, empty
-    return text, s0, s1, grams[anchor[s0]], one.of(s0, s1 + length), Hashes(x, _LUT[1]).of(s0, s1 + length)
+        return text, s0, s1, stop, has, begins[s0], grams[anchor], empty, empty
+    inner = mix64((end[s1] - s0).astype(np.uint64))  # where the last window ends is a part of what must be equal
+    return text, s0, s1, stop, has, begins[s0], grams[anchor], one.of(s0, stop) ^ inner, Hashes(x, _LUT[1]).of(s0, stop)
 
 
-def _over(data: np.ndarray, offsets: np.ndarray, length: int, hashed: bool = True):
-    """segments() of a batch, slice by slice; long texts in overlapping pieces. Places are in the text."""
+def _over(data: np.ndarray, offsets: np.ndarray, length: int, words: int, hashed: bool = True):
+    """segments() of a batch, slice by slice; long texts in pieces that overlap by more than the longest window and the
+    bytes that count behind it. Places are in the text."""
     for lo, hi in in_slices(np.diff(offsets).tolist(), SLICE):
         base, size = int(offsets[lo]), int(offsets[hi] - offsets[lo])
-        single = hi - lo == 1
-        for piece in range(0, max(1, size), PIECE if single else max(1, size)):
-            x = data[base + piece : base + min(size, piece + (PIECE + length - 1 if single else size))]
-            off = np.array([0, len(x)]) if single else offsets[lo : hi + 1] - base
-            text, s0, s1, h, a, b = segments(x, off, length, hashed=hashed)
-            yield lo + text, s0 + piece - off[text], s1 + piece - off[text], h, a, b
+        if hi - lo > 1 or size <= PIECE:
+            off = offsets[lo : hi + 1] - base
+            text, s0, s1, stop, *rest = segments(data[base : base + size], off, length, words, hashed=hashed)
+            yield lo + text, s0 - off[text], s1 - off[text], stop - off[text], *rest
+            continue
+        for piece in range(0, size, PIECE):
+            before = min(piece, 1)  # one byte more tells whether a word begins
+            x = data[base + piece - before : base + min(size, piece + PIECE + length)]
+            text, s0, s1, stop, has, begins, *rest = segments(x, np.array([0, len(x)]), length, words, hashed=hashed)
+            # windows from this piece's begin to the next one's; a segment that is cut there goes on in the next piece
+            yield from _cut(x, text, s0, s1, stop, has, begins, rest, before, min(PIECE, size - piece), piece - before, lo, length, words, hashed)
+
+
+def _cut(x, text, s0, s1, stop, has, begins, rest, least, most, shift, place, length, words, hashed):
+    """The segments that lie within [least, least + most) of a piece x of a long text; cut ones are described anew."""
+    inside = (s0 >= least) & (s1 < least + most)
+    yield place + text[inside], s0[inside] + shift, s1[inside] + shift, stop[inside] + shift, has[inside], begins[inside], *(r[inside] if len(r) else r for r in rest)
+    crossing = np.flatnonzero(~inside & (s1 >= least) & (s0 < least + most))
+    if not len(crossing):
+        return
+    end, upto, word = windows(x, np.array([0, len(x)]), length, words)
+    seen = np.r_[0, np.cumsum(word)]
+    a, b = np.maximum(s0[crossing], least), np.minimum(s1[crossing], least + most - 1)
+    upon = np.minimum(b + length, upto[b])
+    h, one, two = rest[0][crossing], rest[1], rest[2]
+    if hashed:
+        one = Hashes(x, _LUT[0]).of(a, upon) ^ mix64((end[b] - a).astype(np.uint64))
+        two = Hashes(x, _LUT[1]).of(a, upon)
+    yield place + text[crossing], a + shift, b + shift, upon + shift, seen[b + 1] > seen[a], word[a], h, one, two
 
 
 # ---- sorting a shard on disk ------------------------------------------------------------------------------------------
 
 
 class Queue:
-    """Positions in the order in which they are put, in a file."""
+    """Tuples of a position and, with a depth, its common prefix with the one put before it; in files, in the order in
+    which they are put."""
 
-    def __init__(self, path: str, kind: type = np.int64) -> None:
-        self.path, self.kind, self.n, self.held, self.held_n = path, kind, 0, [], 0
+    def __init__(self, path: str, kind: type, carries: bool) -> None:
+        self.paths, self.kinds = (path, f"{path}.prefix")[: 1 + carries], (kind, np.int16)
+        self.n, self.held, self.held_n = 0, [], 0
 
-    def put(self, values: np.ndarray) -> None:
-        self.held.append(values.astype(self.kind))
-        self.held_n += len(values)
-        self.n += len(values)
+    def put(self, *values: np.ndarray) -> None:
+        self.held.append([v.astype(k) for v, k in zip(values, self.kinds)])
+        self.held_n += len(values[0])
+        self.n += len(values[0])
         if self.held_n >= 8192:
             self.flush()
 
     def flush(self) -> None:
         if self.held:
-            with open(self.path, "ab") as f:
-                np.concatenate(self.held).tofile(f)
+            for path, parts in zip(self.paths, zip(*self.held)):
+                with open(path, "ab") as f:
+                    np.concatenate(parts).tofile(f)
             self.held, self.held_n = [], 0
 
-    def get(self, start: int, n: int) -> np.ndarray:
-        if n <= 0:
-            return np.zeros(0, np.int64)
+    def get(self, start: int, n: int) -> tuple[np.ndarray, np.ndarray | None]:
         self.flush()
-        return np.fromfile(self.path, self.kind, n, offset=np.dtype(self.kind).itemsize * start).astype(np.int64)
+        found = [np.fromfile(p, k, n, offset=np.dtype(k).itemsize * start) for p, k in zip(self.paths, self.kinds)]
+        return found[0].astype(np.int64), found[1] if len(found) > 1 else None
 
     def drop(self) -> None:
         self.held = []
-        if os.path.exists(self.path):
-            os.remove(self.path)
+        for path in self.paths:
+            if os.path.exists(path):
+                os.remove(path)
 
     def forward(self):
         """Blocks from the first on, those put meanwhile included."""
         at = 0
         while at < self.n:
             block = self.get(at, min(BLOCK, self.n - at))
-            at += len(block)
+            at += len(block[0])
             yield block
 
-    def backward(self):
-        at = self.n
+    def backward(self, first: int = 0):
+        """Blocks from the last on; prefixes are those with the one that comes before in this direction, `first` at first."""
+        at, behind = self.n, first
         while at:
             n = min(BLOCK, at)
-            yield self.get(at - n, n)[::-1]
+            p, prefix = self.get(at - n, n)
+            if prefix is not None:
+                prefix, behind = np.r_[np.int16(behind), prefix[:0:-1]], int(prefix[0])
+            yield p[::-1], prefix
             at -= n
 
 
@@ -172,36 +225,80 @@ def _kind(t: np.ndarray) -> type:
     return np.int32 if len(t) < 2**31 else np.int64
 
 
-def _induce(t: np.ndarray, is_l: np.ndarray, seeds: dict[int, Queue], folder: str, name: str) -> tuple[dict[int, Queue], dict[int, Queue]]:
-    """Queues of the suffixes by first letter: of the first type in order, of the second in reverse order."""
-    made: tuple[dict[int, Queue], dict[int, Queue]] = ({}, {})
+def _run(t: np.ndarray, p: int, most: int) -> int:
+    """How often the letter at p stands there in a row, `most` at most."""
+    x = np.asarray(t[p : p + most])
+    other = np.flatnonzero(x != x[0])
+    return int(other[0]) if len(other) else len(x)
+
+
+def _induce(t: np.ndarray, is_l: np.ndarray, seeds: dict[int, Queue], folder: str, name: str, depth: int = 0):
+    """Queues of the suffixes by first letter: of the first type in order, of the second in reverse order; and, by letter,
+    the common prefix of its last suffix of the first type and its first one of the second (0 if one is missing).
 
-    def push(block: np.ndarray, second: bool) -> None:
-        p = block[block > 0] - 1
-        p = p[is_l[p] != second]
-        if len(p):
-            ch = t[p]
-            order = np.argsort(ch, kind="stable")
-            p, ch = p[order], ch[order]
-            cuts = np.flatnonzero(np.r_[True, ch[1:] != ch[:-1]])
-            for s, e in zip(cuts, np.r_[cuts[1:], len(p)]):
-                c = int(ch[s])
-                if c not in made[second]:
-                    made[second][c] = Queue(f"{folder}/{name}{int(second)}-{c}", _kind(t))
-                made[second][c].put(p[s:e])
-
-    letters = range(int(t.max()) + 1)
+    With a depth, tuples carry common prefixes, up to it.
+    """
+    made: tuple[dict[int, Queue], dict[int, Queue]] = ({}, {})
+    # by letter: the least common prefix scanned since something was pushed to its queue; -1: nothing was
+    since = np.full((2, int(t.max()) + 1), -1, np.int16)
+
+    def push(block: np.ndarray, prefix: np.ndarray | None, second: bool) -> None:
+        at = np.flatnonzero(block > 0)
+        at = at[is_l[block[at] - 1] != second]
+        low = since[int(second)]
+        if not len(at):
+            if prefix is not None:
+                np.minimum(low, prefix.min(), out=low)
+            return
+        p = block[at] - 1
+        ch = t[p]
+        order = np.argsort(ch, kind="stable")
+        p, ch, at = p[order], ch[order], at[order]
+        new = np.r_[True, ch[1:] != ch[:-1]]
+        cuts = np.flatnonzero(new)
+        values = [p]
+        if prefix is not None:
+            before = np.r_[-1, at[:-1]]
+            before[cuts] = -1
+            between = _least(prefix, before + 1, at - before)
+            between[cuts] = np.minimum(between[cuts], low[ch[cuts]])
+            values.append(np.minimum(between + np.int16(1), depth))
+            np.minimum(low, prefix.min(), out=low)
+            tail = np.r_[np.minimum.accumulate(prefix[::-1])[::-1], np.int16(depth)]  # the least from a place to the end
+            last = np.r_[cuts[1:], len(p)] - 1
+            low[ch[last]] = tail[at[last] + 1]
+        for s, e in zip(cuts, np.r_[cuts[1:], len(p)]):
+            c = int(ch[s])
+            if c not in made[second]:
+                made[second][c] = Queue(f"{folder}/{name}{int(second)}-{c}", _kind(t), depth > 0)
+            made[second][c].put(*(v[s:e] for v in values))
+
+    def meeting(p: int, q: int) -> int:
+        """The common prefix of a suffix of the first type and one of the second with the same letter: the shorter run."""
+        return min(_run(t, p, depth), _run(t, q, depth))
+
+    letters, middle = range(int(t.max()) + 1), {}
     for c in letters:
-        for block in made[0][c].forward() if c in made[0] else ():
-            push(block, False)
-        for block in seeds[c].forward() if c in seeds else ():
-            push(block, False)
+        last = None
+        for block, prefix in made[0][c].forward() if c in made[0] else ():
+            push(block, prefix, False)
+            last = int(block[-1])
+        for block, prefix in seeds[c].forward() if c in seeds else ():
+            if depth and last is not None:
+                prefix = np.r_[np.int16(meeting(last, int(block[0]))), prefix[1:]]
+                last = None
+            push(block, prefix, False)
     for c in reversed(letters):
-        for block in made[1][c].forward() if c in made[1] else ():
-            push(block, True)
-        for block in made[0][c].backward() if c in made[0] else ():
-            push(block, True)
-    return made
+        last = None
+        for block, prefix in made[1][c].forward() if c in made[1] else ():
+            push(block, prefix, True)
+            last = int(block[-1])
+        if c in made[0]:
+            if depth and last is not None:
+                middle[c] = meeting(int(made[0][c].get(made[0][c].n - 1, 1)[0][0]), last)
+            for block, prefix in made[0][c].backward(middle.get(c, 0)):
+                push(block, prefix, True)
+    return made[0], made[1], middle
 
 
 def _types(t: np.ndarray, out: np.ndarray) -> None:
@@ -216,45 +313,95 @@ def _types(t: np.ndarray, out: np.ndarray) -> None:
         behind, b = bool(out[a]), a
 
 
+def _agree(t: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """In how many letters t agrees from p and from q on, `most` at most, which may not reach beyond p's text. Four letters
+    at a time, in blocks of pairs."""
+    four = np.ndarray((len(t) - 3,), np.uint64, t, 0, (2,))
+    out = np.zeros(len(p), np.int64)
+    for a in range(0, len(p), BLOCK):
+        live, k = np.flatnonzero(most[a : a + BLOCK]) + a, 0
+        while len(live):
+            other = four[p[live] + k] ^ four[q[live] + k]
+            out[live] = k + (other & np.uint64(0xFFFF) == 0) + (other & np.uint64(0xFFFFFFFF) == 0).astype(int) + (other & np.uint64(0xFFFFFFFFFFFF) == 0) + (other == 0)
+            k += 4
+            live = live[(other == 0) & (k < most[live])]
+    return np.minimum(out, most)
+
+
+def _seed_prefixes(t: np.ndarray, order: np.ndarray, left: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes, up to depth, of neighbours in the order of the seeds (0 for the first). left: letters to the text's
+    end. place: each one's place in the order of the text.
+
+    If the next seed of the text has the neighbour that lies as far on, its prefix is that much shorter; only the first
+    seeds of such chains are compared letter by letter.
+    """
+    n = len(order)
+    before, by_text = np.full(n, -1, np.int64), np.empty(n, np.int64)
+    by_text[place] = order
+    before[place[1:]] = order[:-1]
+    prefix = np.zeros(n, np.int64)
+    open_ = before >= 0
+    rest = np.empty(n, np.int64)
+    rest[place] = left
+    while open_.any():
+        at = np.flatnonzero(open_)
+        apart = by_text[at] - before[at]
+        head = np.r_[True, (np.diff(at) != 1) | (np.diff(apart) != 0)]
+        own = at[head]
+        prefix[own] = _agree(t, by_text[own], before[own], rest[own])
+        of = own[np.cumsum(head) - 1]
+        known = prefix[of] - (by_text[at] - by_text[of])
+        done = head | (known > 0)
+        prefix[at[done]] = np.where(head[done], prefix[at[done]], known[done])
+        open_[at[done]] = False
+    return np.minimum(prefix[place], depth)
+
+
 def suffix_order(t: np.ndarray, folder: str, depth: int):
-    """Blocks of positions of t (letters, 0 ends a text) in suffix order, right to `depth` letters."""
+    """Blocks of (positions, common prefixes with the one before) of t (letters; 0 ends a text, the last is followed by
+    three more) in suffix order; order and prefixes are right up to `depth` letters."""
     is_l = np.lib.format.open_memmap(f"{folder}/types.npy", "w+", bool, (len(t),))
     _types(t, is_l)
     seed = (np.flatnonzero(~is_l[1:] & is_l[:-1]) + 1).astype(_kind(t))
     if not len(seed):
         return
+    ends = np.flatnonzero(t == 0)
 
-    def queues(positions: np.ndarray, name: str) -> dict[int, Queue]:
+    def queues(positions: np.ndarray, name: str, *prefix: np.ndarray) -> dict[int, Queue]:
         letters = t[positions]
         by = np.argsort(letters, kind="stable")
-        positions, letters = positions[by], letters[by]
-        cuts = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
+        cuts = np.flatnonzero(np.diff(letters[by], prepend=-1))
         out: dict[int, Queue] = {}
         for a, e in zip(cuts, np.r_[cuts[1:], len(positions)]):
-            out[int(letters[a])] = q = Queue(f"{folder}/{name}-{letters[a]}", _kind(t))
-            q.put(positions[a:e])
+            c = int(letters[by[a]])
+            out[c] = q = Queue(f"{folder}/{name}-{c}", _kind(t), len(prefix) > 0)
+            q.put(*(v[by[a:e]] for v in (positions, *prefix)))
         return out
 
-    is_seed = np.zeros(len(t), bool)
+    is_seed = np.lib.format.open_memmap(f"{folder}/seeds.npy", "w+", bool, (len(t),))
     is_seed[seed] = True
     # substrings from seed to seed, sorted by a first run with seeds in any order
     seeds = queues(seed, "seed")
-    l, s = _induce(t, is_l, seeds, folder, "a")
-    order = [b[is_seed[b]] for c in sorted(s) for b in s[c].backward()]
+    l, s, _ = _induce(t, is_l, seeds, folder, "a")
+    order = [b[is_seed[b]] for c in sorted(s) for b, _ in s[c].backward()]
     for q in (*l.values(), *s.values(), *seeds.values()):
         q.drop()
     order = np.concatenate(order).astype(_kind(t)) if order else np.zeros(0, _kind(t))
-    ends = np.flatnonzero(t == 0)
     order = np.r_[ends[is_seed[ends]].astype(_kind(t)), order[t[order] > 0]]
-    place = (np.cumsum(is_seed, dtype=_kind(t)) - 1)[order]
-    del is_seed
-    h = hashes_of(t, seed, np.minimum(np.r_[seed[1:], len(t) - 1] + 1, len(t)), mix64(np.arange(257, dtype=np.uint64)))
-    h = h[place]
-    new = np.r_[True, (h[1:] != h[:-1]) | (t[order[1:]] == 0) | (t[order[:-1]] == 0)]
-    del order, h
+    place = np.searchsorted(seed, order)
+    # equal neighbours: as long as each other, and equal letter by letter
+    size = np.diff(np.r_[seed, len(t) - 3])[place]
+    left = (ends[np.searchsorted(ends, order)] - order).astype(np.int64)
+    size, inner = np.minimum(size, left), t[order[1:]] > 0
+    same = inner & (size[1:] == size[:-1]) & (left[1:] >= size[1:])
+    pair = np.flatnonzero(same)
+    same[pair] = _agree(t, order[pair + 1], order[pair], size[pair + 1].astype(np.int64)) == size[pair + 1]
+    # the substring holds the next seed's letter too; what ends a text is equal to nothing
+    after, other = order[pair + 1] + size[pair + 1], order[pair] + size[pair]
+    same[pair] &= (t[after] == t[other]) & (t[after] > 0)
     rank = np.zeros(len(seed), _kind(t))
-    rank[place] = np.cumsum(new, dtype=_kind(t)) - 1
-    del place, new
+    rank[place] = np.cumsum(np.r_[0, ~same], dtype=_kind(t))
+    del order, size, left, inner, same, pair, after, other, place
     k = 1
     while 2 * k < depth and int(rank.max()) + 1 < len(rank):  # names of 2k substrings, of two letters at least, from names of k
         key = rank.astype(np.uint64) << np.uint64(32)
@@ -264,51 +411,101 @@ def suffix_order(t: np.ndarray, folder: str, depth: int):
         rank[by] = np.cumsum(np.r_[True, key[1:] != key[:-1]], dtype=_kind(t)) - 1
         del by
         k *= 2
-    l, s = _induce(t, is_l, queues(seed[np.argsort(rank, kind="stable")], "sorted"), folder, "b")
+    place = np.argsort(rank, kind="stable")
+    del rank
+    order = seed[place]
+    prefix = _seed_prefixes(t, order.astype(np.int64), ends[np.searchsorted(ends, order)] - order, place, depth)
+    l, s, middle = _induce(t, is_l, queues(order, "sorted", prefix), folder, "b", depth)
     for c in sorted({*l, *s}):
         if c:
             if c in l:
                 yield from l[c].forward()
             if c in s:
-                yield from s[c].backward()
+                yield from s[c].backward(middle.get(c, 0))
 
 
-def repeated_starts(texts, length: int = LENGTH) -> list[np.ndarray]:
-    """For each text (bytes) of a shard, the places at which a string of `length` bytes starts that starts elsewhere too."""
+#: Letters of bytes: white space comes first, so that suffixes that begin with the same whole words are neighbours.
+_LETTER = np.empty(256, np.uint16)
+_LETTER[np.r_[np.flatnonzero(IS_SPACE), np.flatnonzero(~IS_SPACE)]] = np.arange(1, 257)
+
+
+def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each of the pieces (bytes, number of windows, whether a word begins at the first, document, whether several
+    documents hold it): the places at which a string of `length` bytes starts that starts elsewhere too; and whether a
+    window at which a word begins is held by another document.
+
+    Sorting takes some 28 bytes of memory a seed (every third byte of the text at most); all else is in files.
+    """
     folder = tempfile.mkdtemp(prefix="suffix-")
     try:
-        offsets, path = [0], f"{folder}/text"
-        with open(path, "wb") as f:
-            f.write(np.zeros(1, np.uint16).tobytes())
-            for x in texts:
-                f.write((np.frombuffer(x, np.uint8).astype(np.uint16) + 1).tobytes() + b"\0\0")
-                offsets.append(offsets[-1] + len(x) + 1)
-        if offsets[-1] == 0:
-            return []
-        t = np.memmap(path, np.uint16, "r")
-        offsets = np.array(offsets) + 1
-        live = np.zeros(len(t), bool)
-        for s, e in zip(offsets[:-1], offsets[1:]):
-            live[s : max(s, e - length)] = True
-        hashes = np.lib.format.open_memmap(f"{folder}/windows.npy", "w+", np.uint64, (len(t),))
-        for a in range(0, len(t) - length, STRETCH):
-            at = np.arange(a, min(a + STRETCH, len(t) - length))
-            hashes[a : a + len(at)] = hashes_of(t, at, at + length, mix64(np.arange(257, dtype=np.uint64) + np.uint64(7)))
-        mark, last, last_hash = np.zeros(len(t), bool), None, None
-        for block in suffix_order(t, folder, length):
-            block = block[live[block]]
-            if len(block):
-                h = hashes[block]
-                same = np.flatnonzero(h[1:] == h[:-1])
-                mark[block[same]] = mark[block[same + 1]] = True
-                if last is not None and last_hash == h[0]:
-                    mark[last] = mark[block[0]] = True
-                last, last_hash = block[-1], h[-1]
-        return [np.flatnonzero(mark[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
+        offsets, document, many = [1], [], []
+        with open(f"{folder}/text", "wb") as text, open(f"{folder}/windows", "wb") as own:
+            text.write(np.zeros(1, np.uint16).tobytes())
+            own.write(np.zeros(1, np.int16).tobytes())
+            held: list[tuple] = []
+
+            def write() -> None:
+                x, off = np.frombuffer(b"".join(h[0] for h in held), np.uint8), np.cumsum([0, *(len(h[0]) for h in held)])
+                wide = np.zeros(len(x), np.int16)
+                if words and len(x):
+                    end, _, word = windows(x, off, length, words)
+                    of = np.repeat(np.arange(len(held)), np.diff(off))
+                    far = np.arange(len(x)) - off[of]
+                    n, begins = np.array([h[1] for h in held])[of], np.array([h[2] for h in held], bool)[of]
+                    at = np.flatnonzero(word & (end > 0) & (far < n) & ((far > 0) | begins))
+                    wide[at] = end[at] - at
+                ends = off[1:]  # a zero goes behind each piece
+                text.write(np.insert(_LETTER[x], ends, 0).tobytes())
+                own.write(np.insert(wide, ends, 0).tobytes())
+                offsets.extend((offsets[-1] + np.cumsum(np.diff(off) + 1)).tolist())
+                held.clear()
+
+            size = 0
+            for piece in pieces:
+                held.append(piece)
+                document.append(piece[3])
+                many.append(piece[4])
+                size += len(piece[0])
+                if size > STRETCH:
+                    write()
+                    size = 0
+            if held:
+                write()
+            text.write(b"\0" * 6)
+        if not document:
+            return [], np.zeros(0, bool)
+        t, wide = np.memmap(f"{folder}/text", np.uint16, "r"), np.memmap(f"{folder}/windows", np.int16, "r")
+        offsets, document, many = np.array(offsets), np.array(document, np.int64), np.array(many, bool)
+        mark = np.lib.format.open_memmap(f"{folder}/marks.npy", "w+", bool, (len(t),))
+        shared = np.zeros(len(document), bool)
+        before, last, low = -1, -1, 0  # the suffix before, the last one with a window of its own, the least prefix since
+        for p, prefix in suffix_order(t, folder, length):
+            hit = np.flatnonzero(prefix >= length)
+            mark[p[hit]] = mark[np.where(hit > 0, p[hit - 1], before)] = True
+            before = int(p[-1])
+            if not words:
+                continue
+            at = np.flatnonzero(wide[p])
+            if not len(at):
+                low = min(low, int(prefix.min()))
+                continue
+            common = np.minimum.reduceat(prefix[: at[-1] + 1], np.r_[0, at[:-1] + 1])
+            common[0] = min(common[0], low)
+            q = np.r_[last, p[at]]
+            a, b = np.searchsorted(offsets, q[:-1], side="right") - 1, np.searchsorted(offsets, q[1:], side="right") - 1
+            found = (common >= wide[q[1:]]) & (wide[q[:-1]] == wide[q[1:]]) & (q[:-1] >= 0) & ((document[a] != document[b]) | many[a] | many[b])
+            shared[a[found]] = shared[b[found]] = True
+            last, low = int(q[-1]), int(prefix[at[-1] + 1 :].min(initial=length))
+        return [np.flatnonzero(mark[s : e - 1]) for s, e in zip(offsets[:-1], offsets[1:])], shared
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+def repeated_starts(texts, length: int = LENGTH) -> list[np.ndarray]:
+    """For each text (bytes) of a shard, the places at which a string of `length` bytes starts that starts elsewhere too."""
+    return _shard(((x, 0, False, 0, False) for x in texts), length, 0)[0]
+
+
 # ---- over documents ---------------------------------------------------------------------------------------------------
 
 
@@ -331,82 +528,97 @@ def _ranges(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut]].tolist(), (starts[np.r_[cut - 1, len(starts) - 1]] + length).tolist()))
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(uid, did, s, e): ranges of bytes to remove, of rows (uid, did, _text); they may overlap."""
+def _columns(names: str, *lists):
+    """An Arrow batch of columns `name type`, from arrays in parts."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    named = [n.split(" ") for n in names.split(", ")]
+    flat = [np.concatenate(v) if len(v) and isinstance(v[0], np.ndarray) else v for v in lists] if lists else [[] for _ in named]
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(flat, named)], names=[n for n, _ in named])
+
+
+SEGMENT = "uid long, did long, s0 long, w long, size int, has boolean, begins boolean, h long, x long, y long"
+PART = "h long, uid long, did long, s0 long, w long, begins boolean, single boolean, many boolean, part binary"
+FOUND = "uid long, did long, s long, e long, shared boolean"
+
+
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """(uid, did, s, e, shared), written: ranges of bytes to remove, of rows (uid, did, _text); they may overlap, and empty
+    ones only say whether a window at which a word begins is held by another document too (shared)."""
     spark = rows.sparkSession
-    kinds = "h long"
 
     def anchors(batches):
-        import pyarrow as pa
-
         for b in batches:
-            found = [h for _, _, _, h, _, _ in _over(*arrow_bytes(b.column(0)), length, hashed=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["h"])
+            yield _columns("h long", [g[6].view(np.int64) for g in _over(*arrow_bytes(b.column(0)), length, words, hashed=False)] or [np.zeros(0, np.int64)])
 
-    again = rows.select("_text").mapInArrow(anchors, kinds).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    again = rows.select("_text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     again = written(again, "anchors")
     shared = spark.sparkContext.broadcast(_bits(again))
+    remove(spark, again)
 
     def parts(batches):
-        import pyarrow as pa
-
         bits = shared.value
         for b in batches:
             uid, did = (b.column(i).to_numpy() for i in (0, 1))
-            out = [[] for _ in range(7)]
-            for text, s0, s1, h, x, y in _over(*arrow_bytes(b.column(2)), length):
+            out = [[] for _ in range(10)]
+            for text, s0, s1, stop, has, begins, h, x, y in _over(*arrow_bytes(b.column(2)), length, words):
                 at = (h & np.uint64(len(bits) * 64 - 1)).astype(np.int64)
                 keep = (bits[at >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1
-                for o, v in zip(out, (uid[text], did[text], s0, s1, h.view(np.int64), x.view(np.int64), y.view(np.int64))):
+                for o, v in zip(out, (uid[text], did[text], s0, s1 - s0, stop - s0, has, begins, h.view(np.int64), x.view(np.int64), y.view(np.int64))):
                     o.append(v[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], names=["uid", "did", "s0", "s1", "h", "x", "y"])
-
-    found = written(rows.mapInArrow(parts, "uid long, did long, s0 long, s1 long, h long, x long, y long"), "segments")
-    kinds_of = written(found.groupBy("h", "x", "y", (F.col("s1") - F.col("s0")).alias("w")).agg(F.count("*").alias("n"), F.min(F.struct("uid", "did", "s0", "s1")).alias("one")), "kinds")
-    whole = found.withColumn("w", F.col("s1") - F.col("s0")).join(kinds_of.filter("n > 1").select("h", "x", "y", "w"), ["h", "x", "y", "w"], "left_semi")
-    ranges = whole.select("uid", "did", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
+            yield _columns(SEGMENT, *out)
+
+    found = written(rows.mapInArrow(parts, SEGMENT), "segments")
+    same = ["h", "x", "y", "w", "size"]
+    kinds_of = found.groupBy(*same).agg(F.count("*").alias("n"), (F.min("uid") != F.max("uid")).alias("many"), F.min(F.struct("uid", "did", "s0", "begins")).alias("one"))
+    kinds_of = written(kinds_of, "kinds")
+    whole = found.join(kinds_of.filter("n > 1").select(*same, "many"), same)
+    ranges = whole.select("uid", "did", F.col("s0").alias("s"), (F.col("s0") + F.when(F.col("size") >= length, F.col("size")).otherwise(0)).alias("e"), (F.col("many") & F.col("has")).alias("shared"))
     mixed = kinds_of.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    wanted = kinds_of.join(mixed, "h", "left_semi").select("one.uid", "one.did", F.struct("h", "one.s0", "one.s1", (F.col("n") == 1).alias("single")).alias("p"))
+    wanted = kinds_of.join(mixed, "h", "left_semi").select("one.uid", "one.did", F.struct("h", "one.s0", "w", "size", "one.begins", (F.col("n") == 1).alias("single"), "many").alias("p"))
     lists = wanted.groupBy("uid", "did").agg(F.collect_list("p").alias("ps"))  # parts of one text
 
     def cut(batches):
-        import pyarrow as pa
-
         for b in batches:
             data, offsets = arrow_bytes(b.column(2))
-            rows_out = []
+            out = []
             for i, ps in enumerate(b.column(3).to_pylist()):
                 t = data[offsets[i] : offsets[i + 1]]
                 u, d = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                rows_out += [(p["h"], u, d, p["s0"], p["single"], t[p["s0"] : p["s1"] + length].tobytes()) for p in ps]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows_out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["h", "uid", "did", "s0", "single", "part"]) if rows_out else pa.RecordBatch.from_pylist(
-                [], schema=pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("did", pa.int64()), ("s0", pa.int64()), ("single", pa.bool_()), ("part", pa.binary())])
-            )
+                out += [(p["h"], u, d, p["s0"], p["w"], p["begins"], p["single"], p["many"], t[p["s0"] : p["s0"] + p["size"]].tobytes()) for p in ps]
+            yield _columns(PART, *map(list, zip(*out)))
 
     # a row a text that holds parts; rows that repeat a text and id hold the same parts
-    pieces = rows.dropDuplicates(["uid", "did"]).join(lists, ["uid", "did"]).mapInArrow(cut, "h long, uid long, did long, s0 long, single boolean, part binary")
+    pieces = rows.dropDuplicates(["uid", "did"]).join(lists, ["uid", "did"]).mapInArrow(cut, PART)
 
     def sort(batches):
-        import pyarrow as pa
-
-        meta, at = [], []
+        meta = []
 
-        def texts():
+        def parts_of():
             for b in batches:
-                meta.append([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4)])
-                data, offsets = arrow_bytes(b.column(5))
-                for s, e in zip(offsets[:-1], offsets[1:]):
-                    yield data[s:e].tobytes()
+                meta.append([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 6)])
+                data, offsets = arrow_bytes(b.column(8))
+                for i, (w, begins, uid, many) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 1, 7)))):
+                    yield data[offsets[i] : offsets[i + 1]].tobytes(), w + 1, begins, uid, many
 
-        starts = repeated_starts(texts(), length)
+        starts, held = _shard(parts_of(), length, words)
+        at = []
         if meta:
             uid, did, s0, single = (np.concatenate(c) for c in zip(*meta))
-            at = [(int(uid[i]), int(did[i]), int(s0[i]) + s, int(s0[i]) + e) for i, x in enumerate(starts) if single[i] for s, e in _ranges(x, length)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in at], pa.int64()) for k in range(4)], names=["uid", "did", "s", "e"])
-
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task's queues take some 20 bytes a letter of disk
-    sorted_ranges = pieces.repartition(partitions, "h").mapInArrow(sort, "uid long, did long, s long, e long")
-    return ranges.unionByName(sorted_ranges)
+            for i, x in enumerate(starts):
+                own = _ranges(x, length) if single[i] else []
+                at += [(int(uid[i]), int(did[i]), int(s0[i]) + s, int(s0[i]) + e, bool(held[i])) for s, e in own]
+                if held[i] and not own:
+                    at.append((int(uid[i]), int(did[i]), 0, 0, True))
+        yield _columns(FOUND, *map(list, zip(*at)))
+
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task's queues take some 24 bytes a letter of disk
+    sorted_ranges = pieces.repartition(partitions, "h").mapInArrow(sort, FOUND)
+    out = written(ranges.filter("e > s or shared").unionByName(sorted_ranges), "ranges")
+    remove(spark, found)
+    remove(spark, kinds_of)
+    return out
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -414,19 +626,21 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(key), raw).alias("uid"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("did"), raw.alias("_text"), F.col(key).alias("_id"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, spans, kept): for each document its length in bytes, the maximal runs [start, end) of bytes that are
-    covered by a string of `length` bytes that starts elsewhere too, in this or another document, and what is left.
+def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(key, n_bytes, spans, kept, shares): for each document its length in bytes, the maximal runs [start, end) of bytes
+    that are covered by a string of `length` bytes that starts elsewhere too, in this or another document, what is left,
+    and whether a passage of `words` words (or `length` bytes, if these are fewer) is in another document too, removed or
+    not. words 0: the last is false.
 
-    Null text: empty. Rows that repeat a document are copies of each other. Null key: a document like others. Empty
-    table: no rows. Further columns are ignored.
+    Null text: empty. Rows that repeat a document are copies of each other, and not another document. Null key: a document
+    like others. Empty table: no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = _keyed(docs, key, text)
-    ranges = written(repeated_ranges(rows.select("uid", "did", "_text"), length), "ranges")
-    lists = ranges.distinct().groupBy("uid", "did").agg(F.collect_list(F.struct("s", "e")).alias("rs"))  # of one text
-    joined = rows.join(lists, ["uid", "did"], "left").select("_id", "_text", "rs")
+    ranges = repeated_ranges(rows.select("uid", "did", "_text"), length, words)
+    ranges = ranges.groupBy("uid", "did").agg(F.collect_set(F.when(F.col("e") > F.col("s"), F.struct("s", "e"))).alias("rs"), F.max("shared").alias("shared"))  # of one text
+    joined = rows.join(ranges, ["uid", "did"], "left").select("_id", "_text", "rs", F.coalesce("shared", F.lit(False)).alias("shared"))
 
     def remove(batches):
         import pyarrow as pa
@@ -447,14 +661,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                     last = e
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 kept.append(b"".join([*out, t[last:]]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[key, "n_bytes", "spans", "kept"])
+            cols = [b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), b.column(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "n_bytes", "spans", "kept", "shares"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(remove, f"`{key}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(remove, f"`{key}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, shares boolean")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 of without_repeats()."""
+    """key, n_bytes, n_removed, n_spans and kept_sha256 of without_repeats(), and shares as 0 or 1."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select(key, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
+    return found.select(
+        key, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("shares").cast("int").alias("shares_passage")
+    )

@@ -480,10 +480,11 @@ def repeats_brute(texts, length):
     return out
 
 
-def test_suffix_sorting_against_all_strings(monkeypatch):
-    monkeypatch.setattr(suffix, "BLOCK", 7)
+@pytest.mark.parametrize("block", [7, 1 << 17])
+def test_suffix_sorting_against_all_strings(monkeypatch, block):
+    monkeypatch.setattr(suffix, "BLOCK", block)
     rng = random.Random(14)
-    for _ in range(120):
+    for _ in range(150):
         letters = rng.choice([b"a", b"ab", b"abcdefgh", bytes(range(256))])
         texts = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 6))]
         if texts:
@@ -497,6 +498,40 @@ def test_suffix_sorting_against_all_strings(monkeypatch):
         assert [x.tolist() for x in suffix.repeated_starts(iter(texts), length)] == want
 
 
+def test_suffix_order_and_common_prefixes(tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK", 5)
+    rng = random.Random(24)
+    for n in range(120):
+        letters = rng.choice([[1], [1, 2], [1, 2, 3, 4], list(range(1, 257))])
+        texts = [[rng.choice(letters) for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 6))]
+        texts += [texts[0], texts[-1][1:]]
+        t = np.array([0, *(c for x in texts for c in [*x, 0]), 0, 0, 0], np.uint16)
+        (folder := tmp_path / str(n)).mkdir()
+        depth = rng.choice([3, 50])
+        found = [(int(p), int(x)) for a, b in suffix.suffix_order(t, str(folder), depth) for p, x in zip(a, b)]
+        body = lambda p: t[p : p + next(i for i in range(99) if t[p + i] == 0)].tolist()
+        agree = lambda x, y: next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        assert sorted(p for p, _ in found) == np.flatnonzero(t).tolist()
+        for (p, _), (q, common) in zip(found, found[1:]):
+            assert common == min(depth, agree(body(p), body(q)))
+            assert body(p)[:depth] <= body(q)[:depth]
+
+
+def passages_brute(rows, length, words):
+    """Whether a text holds a window (words words, or length bytes if these are fewer) that another document holds."""
+    where, of = {}, []
+    for d, t in rows:
+        spans, own = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)], set()
+        for k, (s, _) in enumerate(spans):
+            ends = [e for e in (s + length, spans[k + words - 1][1] if k + words <= len(spans) else None) if e is not None and e <= len(t)]
+            if ends:
+                own.add((t[s : min(ends)], spans[k + words - 1][1] == min(ends) if k + words <= len(spans) else False))
+        of.append(own)
+        for w in own:
+            where.setdefault(w, set()).add((d, t))
+    return [any(len(where[w]) > 1 for w in own) for own in of]
+
+
 def test_without_repeats(spark, monkeypatch):
     rng = random.Random(15)
     passage, other = prose(rng, 30), prose(rng, 25)
@@ -513,6 +548,26 @@ def test_without_repeats(spark, monkeypatch):
     assert suffix.without_repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_and_passages_of_short_windows(spark, monkeypatch):
+    """Passages of ten words or more, most shorter than the 60 bytes of a string that is removed."""
+    rng = random.Random(25)
+    short = [prose(rng, 12) for _ in range(6)] + [" ".join(rng.choice("abcdefghij") for _ in range(25)) for _ in range(4)]
+    texts = []
+    for k in range(60):
+        a, b = prose(rng, rng.randint(0, 25)), prose(rng, rng.randint(0, 25))
+        middle = rng.choice(short) if k % 3 else prose(rng, 10)
+        texts.append(f"{a} {middle[: rng.choice([200, 200, 45])]}{rng.choice([' ', chr(9), 'zz ', chr(1)])}{b}")
+    texts += [texts[4], "a b " * 200, texts[5].replace(" ", "\n", 1), "same " * 30, None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    raw = [(t or "").encode() for _, t in rows]
+    want = sorted(zip((i for i, _ in rows), (sum(e - s for s, e in spans) for spans, _ in repeats_brute(raw, 60)), passages_brute([(i, r) for (i, _), r in zip(rows, raw)], 60, 10)))
+    assert 20 < sum(w[2] for w in want) < len(want)
+    for piece in (8_000_000, 90):
+        monkeypatch.setattr(suffix, "PIECE", piece)
+        got = suffix.digest(suffix.without_repeats(docs_of(spark, rows).repartition(3), length=60, words=10)).collect()
+        assert sorted((r["doc_id"], r["n_removed"], bool(r["shares_passage"])) for r in got) == want
+
+
 # ---- 9 --------------------------------------------------------------------------------------------------------------
 
 
