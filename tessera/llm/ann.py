@@ -80,41 +80,74 @@ def _placed(rows: DataFrame, curves: Curves, most: float) -> DataFrame:
     return rows.select("_id", "_vec", "_query").mapInPandas(place, "curve int, key long, _id long, _query boolean, _scale float, _code binary")
 
 
+class _Best:
+    """The k best distinct rows of each query so far; what is found is gathered and cut now and then."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.held, self.n = k, [], 0
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        self.full, self.least = np.zeros(0, np.int64), np.zeros(0, np.float32)  # queries with k rows, and their worst score
+
+    def floor(self, q_ids: np.ndarray) -> np.ndarray:
+        """A row below this score is not among a query's k best."""
+        if not len(self.full):
+            return np.full(len(q_ids), -np.inf, np.float32)
+        at = np.minimum(np.searchsorted(self.full, q_ids), len(self.full) - 1)
+        return np.where(self.full[at] == q_ids, self.least[at], np.float32(-np.inf))
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.held.append((query, ids, scores))
+        self.n += len(query)
+        if self.n > max(200_000, len(self.best[0])):
+            self.cut()
+
+    def cut(self) -> None:
+        query, ids, scores = (np.concatenate(c) for c in zip(self.best, *self.held))
+        self.best, self.held, self.n = _distinct_best(query, ids, scores, self.k), [], 0
+        query = self.best[0]
+        last = np.flatnonzero(np.r_[query[1:] != query[:-1], True]) if len(query) else np.zeros(0, int)
+        full = last[np.diff(np.r_[-1, last]) == self.k]
+        self.full, self.least = query[full], self.best[2][full]
+
+
 def _search(blocks: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, near): the k best rows of each query among those it meets in the blocks of a partition, by
     rounded vectors; blocks are sorted."""
 
     def search(batches):
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        pending: list[pd.DataFrame] = []
+        best, pending = _Best(k), []
 
-        def closed(pdf: pd.DataFrame) -> None:
-            nonlocal best
-            is_query = pdf["_query"].to_numpy(bool)
+        def closed() -> None:
+            ids, is_query, x = (np.concatenate(c) for c in zip(*pending))
             if is_query.all() or not is_query.any():
                 return
-            ids = pdf["_id"].to_numpy(np.int64)
-            x = np.frombuffer(b"".join(pdf["_code"]), np.int8).reshape(len(pdf), -1) * pdf["_scale"].to_numpy(np.float32)[:, None]
             q_ids, q, c_ids, c = ids[is_query], x[is_query], ids[~is_query], x[~is_query]
             for i in range(0, len(q_ids), 512):
+                own = q_ids[i : i + 512]
                 scores = q[i : i + 512] @ c.T
-                scores[q_ids[i : i + 512, None] == c_ids[None, :]] = -np.inf
-                most = min(k, len(c_ids))
-                least = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+                scores[own[:, None] == c_ids[None, :]] = -np.inf
+                least = best.floor(own)
+                if k < len(c_ids):
+                    least = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
                 a, b = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-                best = _distinct_best(np.r_[best[0], q_ids[i + a]], np.r_[best[1], c_ids[b]], np.r_[best[2], scores[a, b]], k)
+                best.add(own[a], c_ids[b], scores[a, b])
 
+        group_before = None
         for pdf in batches:
+            ids, is_query = pdf["_id"].to_numpy(np.int64), pdf["_query"].to_numpy(bool)
+            x = np.frombuffer(b"".join(pdf["_code"]), np.int8).reshape(len(pdf), -1) * pdf["_scale"].to_numpy(np.float32)[:, None]
             group = (pdf["curve"].to_numpy(np.int64) << 40) + pdf["block"].to_numpy(np.int64)
             cuts = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)] if len(group) else np.zeros(0, int)
             for s, e in zip(cuts[:-1], cuts[1:]):
-                if pending and pending[-1]["_group"].iat[-1] != group[s]:
-                    closed(pd.concat(pending))
-                    pending = []
-                pending.append(pdf.iloc[s:e].assign(_group=group[s]))
+                if pending and group_before != group[s]:
+                    closed()
+                    pending.clear()
+                pending.append((ids[s:e], is_query[s:e], x[s:e]))
+                group_before = group[s]
         if pending:
-            closed(pd.concat(pending))
-        yield pd.DataFrame({"query_id": best[0], "vec_id": best[1], "near": best[2].astype(float)})
+            closed()
+        best.cut()
+        yield pd.DataFrame({"query_id": best.best[0], "vec_id": best.best[1], "near": best.best[2].astype(float)})
 
     return blocks.mapInPandas(search, "query_id long, vec_id long, near double")
 
