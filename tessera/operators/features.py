@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
 from tessera.functions import text
+from tessera.sources.stages import staged
 
 from .keys import CAND, PAIR, S1
 from .windows import competition_features, context_features, embedding_features
@@ -50,6 +51,18 @@ def token_weights(records: DataFrame, tokens: str, name: str, id_col: str = "ent
     return weighed.groupBy(id_col).agg(F.map_from_entries(entries).alias(name))
 
 
+def record_weights(records: DataFrame, columns: dict[str, str], id_col: str = "entity_id") -> DataFrame:
+    """(id, a map token -> idf for each of columns, name -> token array): token_weights() of several columns in one pass,
+    from one table of (record, kind, token). Records without tokens are left out."""
+    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), F.array_distinct(c).alias("tokens")) for n, c in columns.items()))
+    rows = records.select(id_col, "country", F.explode(kinds).alias("_k")).select(id_col, "country", "_k.kind", F.explode("_k.tokens").alias("token"))
+    sizes = records.groupBy("country").agg(F.count("*").alias("n_docs"))
+    df = rows.groupBy("country", "kind", "token").agg(F.count("*").alias("df")).join(sizes, "country")
+    weighed = rows.join(df.select("country", "kind", "token", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")), ["country", "kind", "token"])
+    entry = F.struct("token", "idf")
+    return weighed.groupBy(id_col).agg(*(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == n, entry)))).alias(n) for n in columns))
+
+
 def token_stats(weights: Column) -> Column:
     """size, idf_sum and idf_norm of a map token -> idf."""
     values = F.map_values(weights)
@@ -72,10 +85,9 @@ def corpus(records: DataFrame) -> DataFrame:
         }
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    out = prepared
-    for tokens, name in (("name_tokens", "name_w"), ("char3", "char3_w"), ("addr_tokens", "addr_w")):
-        out = out.join(token_weights(prepared, tokens, name), "entity_id", "left").withColumn(name, F.coalesce(name, empty))
-    return out.select(
+    weights = {"name_w": "name_tokens", "char3_w": "char3", "addr_w": "addr_tokens"}
+    out = prepared.join(record_weights(prepared, weights), "entity_id", "left")
+    return out.withColumns({n: F.coalesce(n, empty) for n in weights}).select(
         "entity_id",
         "name",
         "ascii",
@@ -163,8 +175,9 @@ def pair_features(pairs: DataFrame, sides: DataFrame, is_source3=lambda cand: te
 
 
 def all_features(pairs: DataFrame, records: DataFrame, is_source3=lambda cand: text.source_of(cand) == "S3") -> DataFrame:
-    """pairs (S1, candidate, country, score and, of a union, emb_score and emb_rank) with all features they allow."""
-    out = context_features(pair_features(pairs, corpus(records), is_source3))
+    """pairs (S1, candidate, country, score and, of a union, emb_score and emb_rank) with all features they allow. What a
+    record brings to its pairs is computed once and read from a table on both sides of a pair."""
+    out = context_features(pair_features(pairs, staged(corpus(records), "corpus"), is_source3))
     if "emb_score" in pairs.columns:
         out = embedding_features(out)
     out = competition_features(out)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import S1
 
+#: Ranges of values that a histogram has.
+RANGES = 4096
+
 
 def f05(tp: Column, predicted: Column, true: Column) -> Column:
     """1.25 tp / (1.25 tp + 0.25 missed + wrong); 1 if nothing is true and nothing predicted."""
@@ -32,12 +37,45 @@ def macro_f05(scored: DataFrame, group: str = "country") -> DataFrame:
     return out.withColumn(group, F.when(F.col("_all") == 1, "ALL").otherwise(F.col(group).cast("string"))).drop("_all")
 
 
+def values_at(df: DataFrame, column: str, places: list[int]) -> dict[int, float]:
+    """The values that stand at some places (from 0) of the ascending order of a column's values, nulls left out.
+
+    Values are counted first; a histogram over ranges of the values gives how many come before each range, and running
+    counts are taken within the ranges only.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    low, high = counts.agg(F.min("_v"), F.max("_v")).first()
+    if low is None or not places:
+        return {}
+    part = F.floor((F.col("_v") - F.lit(low)) / F.lit((high - low) or 1.0) * RANGES).cast("int")
+    counts = counts.withColumn("_r", F.least(part, F.lit(RANGES - 1)))
+    upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # RANGES rows at most
+    before = counts.groupBy("_r").agg(F.sum("_n").alias("_m")).withColumn("_before", F.sum("_m").over(upto) - F.col("_m")).select("_r", "_before")
+    inside = Window.partitionBy("_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counts.join(before, "_r").withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    own = F.filter(F.array(*(F.lit(i).cast("long") for i in sorted(set(places)))), lambda i: (i >= F.col("_end") - F.col("_n")) & (i < F.col("_end")))
+    return {r["i"]: r["_v"] for r in ends.select("_v", F.explode(own).alias("i")).collect()}  # as many rows as places
+
+
 def threshold_grid(pairs: DataFrame, quantiles: int = 200, score: str = "score") -> DataFrame:
-    """Distinct thresholds: 0.01 .. 0.99 and evenly spaced exact quantiles of the scores."""
-    steps = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: F.round(i / F.lit(100.0), 4))
-    at = [i / (quantiles - 1) for i in range(quantiles)]
-    both = pairs.agg(F.percentile(score, F.array(*map(F.lit, at))).alias("q")).select(F.explode(F.concat(steps, F.coalesce("q", F.array().cast("array<double>")))).alias("threshold"))
-    return both.distinct()
+    """Distinct thresholds: 0.01 .. 0.99 and evenly spaced exact quantiles of the scores, interpolated."""
+    n = pairs.filter(F.col(score).isNotNull()).count()
+    at = [i / (quantiles - 1) * (n - 1) for i in range(quantiles)] if n else []
+    found = values_at(pairs, score, [i for x in at for i in (int(x), min(n - 1, int(x) + 1))])
+    exact = [found[int(x)] + (found[min(n - 1, int(x) + 1)] - found[int(x)]) * (x - int(x)) for x in at]
+    values = sorted({*(round(i / 100, 4) for i in range(1, 100)), *exact})
+    return pairs.sparkSession.createDataFrame([(v,) for v in values], "threshold double")
+
+
+def level_of(value: Column, levels: list[float]) -> Column:
+    """How many of the ascending levels are not above value: found among the first of each stretch of levels, then within
+    the stretch."""
+    width = max(1, math.isqrt(len(levels)))
+    stretches = [levels[i : i + width] for i in range(0, len(levels), width)]
+    some = lambda values: F.array(*map(F.lit, values))
+    stretch = F.size(F.filter(some([x[0] for x in stretches]), lambda t: t <= value))
+    inside = F.size(F.filter(F.get(F.array(*map(some, stretches)), stretch - 1), lambda t: t <= value))
+    return F.when(stretch > 0, (stretch - 1) * width + inside).otherwise(0)
 
 
 def threshold_sweep(entities: DataFrame, pairs: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
@@ -51,9 +89,7 @@ def threshold_sweep(entities: DataFrame, pairs: DataFrame, thresholds: DataFrame
     n = entities.count()
     if not grid or not n:
         return thresholds.select("threshold", F.lit(None).cast("double").alias("macro_f05"))
-    levels = F.array(*map(F.lit, grid))
-    reached = F.size(F.filter(levels, lambda t: t <= F.col(score)))
-    local = pairs.join(entities.select(S1, "n_true"), S1).select(S1, "n_true", "label", reached.alias("_k")).filter("_k > 0")
+    local = pairs.join(entities.select(S1, "n_true"), S1).select(S1, "n_true", "label", level_of(F.col(score), grid).alias("_k")).filter("_k > 0")
     by = local.groupBy(S1, "n_true", "_k").agg(F.sum("label").alias("_l"), F.count("*").alias("_n"))
     run = Window.partitionBy(S1).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tp, predicted = F.sum("_l").over(run), F.sum("_n").over(run)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .keys import S1
@@ -88,6 +88,28 @@ def check_header(first_line: str | None, expected: tuple[str, str]) -> list[str]
     return [] if found == expected else [f"the header is {found}, not {expected}"]
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """(value) of a text file or folder of text files; None if it is missing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.text(path)
+
+
+def report_files(spark: SparkSession, matches: str, candidates: str, required: DataFrame, known: DataFrame | None = None, names: tuple[str, str] = ("matched_entity_ids", "candidate_entity_ids")) -> DataFrame:
+    """(rule, severity, n_offenders): report() of two id-list files. A file that is missing, empty or without tabs or with
+    another header is a finding of its own (rule `file` and why), and its rows are not looked at."""
+    found, rows = [], []
+    for path, name in zip((matches, candidates), names):
+        lines = read_lines(spark, path)
+        first = None if lines is None else lines.first()
+        errors = ["the file is missing"] if lines is None else check_header(first["value"] if first else None, (S1, name))
+        found += [(f"file {path.rstrip('/').rpartition('/')[2]}: {e}", "error", 1) for e in errors]
+        rows.append(None if errors else parsed(lines, f"{S1}\t{name}"))
+    out = spark.createDataFrame(found, "rule string, severity string, n_offenders long")
+    return out if rows[0] is None else out.unionByName(report(rows[0], required, known, rows[1]))
+
+
 def report(rows: DataFrame, required: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """(rule, severity, n_offenders) for each rule."""
     rules = {

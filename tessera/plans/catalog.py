@@ -19,8 +19,8 @@ from .views import EDGE, SEP, sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Limits of blocking in the queries whose SQL has them; pair_features and link have the operator's own.
-MAX_DF, KEYS, TOP_K = 50, 10, 5
+#: Limits of blocking: the operator's own.
+MAX_DF, KEYS, TOP_K = blocking.MAX_DF, blocking.KEYS, blocking.TOP_K
 
 
 def query(name: str, oracle: str | None = None):
@@ -782,9 +782,9 @@ def _(spark, d):
     return sampling.keep_then_fill(p, F.col("score") > 0.95, p.count() // 10, sampling.arithmetic_hash(F.col(S1) * 10000 + F.col(CAND)), PAIR).select(*PAIR)
 
 
-@query("sample_entities")
+@query("sample_entities", sql(f"select s1, cand from pairs where {_HASH('s1')} % 1000000 < 200000", "pairs"))
 def _(spark, d):
-    return sampling.sample_entities(views.pairs(spark, d), 0.2).select(*PAIR)
+    return sampling.sample_entities(views.pairs(spark, d), 0.2, by=sampling.arithmetic_hash(F.col(S1))).select(*PAIR)
 
 
 @query("fresh_entities", sql("select distinct s1 from pairs where s1 not in (select s1 from pairs where score > 0.9)", "pairs"))
@@ -863,7 +863,7 @@ def _(spark, d):
 
 
 def _cleaned(spark, d):
-    r = views.whole_rec(spark, d)
+    r = views.rec(spark, d)
     c = text.clean_records(r.select(F.concat("side", F.lit("-"), "entity_id").alias("entity_id"), "name", "address", "country"), name="name", address="address")
     is_s1 = F.col("entity_id").startswith("S1-")
     return c.filter(is_s1), c.filter(~is_s1)

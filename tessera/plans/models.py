@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import re
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import logit
 from tessera.operators.decide import pseudo_labels
+from tessera.operators.features import FEATURES, feature_columns
 from tessera.operators.keys import PAIR, S1
 from tessera.operators.metrics import best_threshold, entity_f05, macro_f05, threshold_grid, threshold_sweep
 from tessera.operators.sampling import EARLY_STOP, FIT, VAL, fold
@@ -36,21 +39,40 @@ class PairModel:
         self.model, self.features = model, features
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        """df with the probability of a match; a table with other features is refused."""
+        """df with the probability of a match. A table with other features is refused: one that lacks a feature of the
+        model, or has one of the known features that the model was not trained on."""
         missing = [c for c in self.features if c not in df.columns]
         if missing:
             raise ValueError(f"features are missing: {missing}")
+        unknown = [c for c in feature_columns(df) if c not in self.features]
+        if unknown and set(self.features) <= set(FEATURES):
+            raise ValueError(f"the model was not trained on these features: {unknown}")
         keys = [c for c in df.columns if c not in self.features and c != name]
         rows = self.model.transform(assemble(df, self.features))
         return rows.select(*keys, *self.features, vector_to_array("probability")[1].alias(name))
 
-    def importance(self, spark) -> DataFrame:
-        """(feature, importance), greatest first."""
-        values = self.model.featureImportances.toArray().tolist()
-        return spark.createDataFrame(list(zip(self.features, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    def importance(self, spark: SparkSession) -> DataFrame:
+        """(feature, importance, splits), greatest first: the share of the gain, and in how many nodes of the trees the
+        feature decides."""
+        gains = self.model.featureImportances.toArray().tolist()
+        splits = [0] * len(self.features)
+        for tree in self.model.trees:
+            for i in re.findall(r"If \(feature (\d+) ", tree.toDebugString):
+                splits[int(i)] += 1
+        return spark.createDataFrame(list(zip(self.features, gains, splits)), "feature string, importance double, splits long").orderBy(F.desc("importance"), "feature")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """Writes the model and its feature list."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        rows = spark.createDataFrame(list(enumerate(self.features)), "place int, feature string")
+        rows.coalesce(1).write.mode("overwrite").json(f"{path}/features")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PairModel:
+        """A saved model; it scores as it did and refuses the tables that it refused."""
+        features = [r["feature"] for r in spark.read.schema("place int, feature string").json(f"{path}/features").orderBy("place").collect()]
+        return PairModel(GBTClassificationModel.load(f"{path}/model"), features)
 
 
 def train_pairs(df: DataFrame, features: list[str], role: str | None = "role", **options) -> PairModel:

@@ -14,15 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records from documents: side by id, name and address from the text's beginning."""
-    side = F.when(F.col("doc_id") % 5 == 0, "S1").when(F.col("doc_id") % 5 < 3, "S2").otherwise("S3")
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("entity_id"), side.alias("side"), F.col("lang").alias("country"), F.substring("text", 1, 60).alias("name"), F.substring("text", 61, 120).alias("address")
-    )
-
-
-def whole_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as rec has them, of whole texts: the name ends with the first sentence or line, all the rest is the address."""
+    """Records from documents, of whole texts: side by id; the name ends with the first sentence or line, all the rest is
+    the address."""
     side = F.when(F.col("doc_id") % 5 == 0, "S1").when(F.col("doc_id") % 5 < 3, "S2").otherwise("S3")
     name = F.regexp_extract("text", r"^[^.!?\n]*[.!?\n]?", 0)
     return table(spark, sf_dir, "documents").select(
@@ -101,7 +94,7 @@ EDGE = r"[\s!-/:-@\[-`{-~]+"
 
 SQL = {
     "rec": """select doc_id as entity_id, case when doc_id % 5 = 0 then 'S1' when doc_id % 5 < 3 then 'S2' else 'S3' end as side, lang as country,
-        substring(text, 1, 60) as name, substring(text, 61, 120) as address from documents""",
+        name, substring(text, (length(name) + 1)::bigint) as address from (select *, regexp_extract(text, '^[^.!?\n]*[.!?\n]?') as name from documents)""",
     "keys": f"""select entity_id as id, side as src, country, s.side, unnest(list_distinct(s.tokens)) as token from (
         select entity_id, side, country, unnest([
           {{'side': 'name', 'tokens': list_filter(regexp_split_to_array(lower(name), '{SEP}'), lambda t: t <> '' and not list_contains(
@@ -112,10 +105,10 @@ SQL = {
     "idfs": "select country, side, token, df, n_docs, ln(n_docs / df) as idf from dfs join sizes using (country)",
     "rare": """select id, country, side, token, df, idf from (
         select k.id, k.country, k.side, k.token, i.df, i.idf, row_number() over (partition by k.id, k.side order by i.df, k.token) as r
-        from keys k join idfs i using (country, side, token) where k.src = 'S1' and i.df <= 50) where r <= 10""",
+        from keys k join idfs i using (country, side, token) where k.src = 'S1' and i.df <= 20000) where r <= 10""",
     "scored": """select r.id as s1, k.id as cand, r.country, round(sum(r.idf), 9) as score
         from rare r join keys k on r.country = k.country and r.side = k.side and r.token = k.token and k.src <> 'S1' group by all having round(sum(r.idf), 9) > 0""",
-    "cands": "select s1, cand, score, country from (select *, row_number() over (partition by s1 order by score desc, cand) as r from scored) where r <= 5",
+    "cands": "select s1, cand, score, country from (select *, row_number() over (partition by s1 order by score desc, cand) as r from scored) where r <= 40",
     "tp": "select a.entity_id as s1, b.entity_id as matched_id from rec a join rec b on a.country = b.country and a.name = b.name and a.address = b.address and a.side = 'S1' and b.side <> 'S1'",
     "pairs": """select s1, cand, (s1 % 3)::varchar as country, score, label, ((s1 * 104729 + cand * 7919) % 1000)::double / 1000 as ce from (
         select l_orderkey as s1, l_partkey as cand, max((round(l_extendedprice * 100)::bigint % 1000)::double / 1000) as score, max((l_returnflag = 'R')::int) as label

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.naming import model_key
 from tessera.operators.keys import CAND, PAIR, S1
 
 
@@ -44,6 +47,34 @@ def cache_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
     return spark.read.parquet(path) if fresh else write_table(build(), path, mode="overwrite")
 
 
+def publish(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table under a name of its own beside path and renames it when it is whole: readers of path see the old
+    table or the new one, never a part. The old one goes only after the new one is written."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    trial = f"{path}.{uuid.uuid4().hex}"
+    df.write.parquet(trial)
+    fs, to = _file(spark, path)
+    old = _file(spark, f"{trial}.old")[1]
+    if fs.exists(to) and not fs.rename(to, old):
+        raise OSError(f"cannot replace {path}")
+    if not fs.rename(_file(spark, trial)[1], to):
+        fs.rename(old, to)
+        raise OSError(f"cannot publish {path}")
+    fs.delete(old, True)
+    return spark.read.parquet(path)
+
+
+def vectors(spark: SparkSession, folder: str, split: str, model: str, records: DataFrame, encode: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
+    """(id, embedding, ...) of a split's records by the encoder of one model: read if the folder has them under the
+    model's key and they are as many as the records, else encoded and published there."""
+    path = f"{folder.rstrip('/')}/{model_key(model)}/{split}"
+    if not force and exists(spark, path):
+        found = spark.read.parquet(path)
+        if found.count() == records.count():
+            return found
+    return publish(encode(records), path)
+
+
 def write_features(df: DataFrame, path: str, files: int | None = None) -> None:
     """A feature table whose files hold whole records."""
     (df.repartition(files, S1) if files else df.repartition(S1)).write.mode("overwrite").parquet(path)
@@ -90,6 +121,39 @@ def export_submission(folder: str, ids: DataFrame, candidates: DataFrame, matche
     write_id_lists(ids, matches, f"{folder}/matches", (S1, "matched_entity_ids"))
 
 
+def write_metrics(spark: SparkSession, values: dict[str, float | str], path: str) -> None:
+    """Metrics of a run as one line of JSON."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_predictions(scored: DataFrame, path: str, threshold: float | None = None) -> DataFrame:
+    """(S1, candidate, score, and label and country if they are known) of scored pairs, with `predicted` given a threshold."""
+    out = scored.select(*PAIR, "score", *(c for c in ("label", "country") if c in scored.columns))
+    return publish(out if threshold is None else out.withColumn("predicted", (F.col("score") >= threshold).cast("int")), path)
+
+
+def package(spark: SparkSession, files: dict[str, str], path: str) -> list[str]:
+    """A zip archive of text tables (name in the archive -> folder of write_id_lists()), each as one file. The parts are
+    streamed through the driver in name order, a block at a time; returns the names."""
+    fs, to = _file(spark, path)
+    out = spark._jvm.java.util.zip.ZipOutputStream(fs.create(to, True))
+    try:
+        for name, folder in files.items():
+            source, place = _file(spark, folder)
+            parts = sorted(str(s.getPath()) for s in source.listStatus(place) if s.getPath().getName().startswith("part-"))
+            if not parts:
+                raise ValueError(f"nothing to pack in {folder}")
+            out.putNextEntry(spark._jvm.java.util.zip.ZipEntry(name))
+            for p in parts:
+                stream = source.open(spark._jvm.org.apache.hadoop.fs.Path(p))
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 65536, False)
+                stream.close()
+            out.closeEntry()
+    finally:
+        out.close()
+    return list(files)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Side tables: curves, importances, errors."""
     df.write.mode("overwrite").csv(path, header=True)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, sampling
+from tessera.operators import blocking, sampling, validate
 from tessera.operators.keys import CAND, S1
 from tessera.plans import linkage, models
 from tessera.sources import readers, sinks
@@ -73,6 +73,62 @@ def test_models(spark):
     assert oof.count() == 400 and oof.filter("stacked is null").count() == 0
 
 
+def test_saved_model_scores_the_same_and_refuses_other_tables(spark, tmp_path):
+    t, _ = table(spark)
+    df = t.withColumns({"name_ratio": F.col("v"), "addr_ratio": 1 - F.col("v")})
+    model = models.train_pairs(df, ["name_ratio", "addr_ratio"], role=None, rounds=3)
+    model.save(str(tmp_path / "m"))
+    again = models.PairModel.load(spark, str(tmp_path / "m"))
+    rows = lambda m: sorted((r[CAND], r["score"]) for r in m.score(df.drop("v")).collect())
+    assert again.features == ["name_ratio", "addr_ratio"] and rows(again) == rows(model)
+    with pytest.raises(ValueError, match="missing"):
+        again.score(df.drop("addr_ratio"))
+    with pytest.raises(ValueError, match="not trained"):
+        again.score(df.withColumn("name_jaro_winkler", F.lit(0.5)))
+    found = {r["feature"]: (r["importance"], r["splits"]) for r in again.importance(spark).collect()}
+    assert set(found) == {"name_ratio", "addr_ratio"} and sum(s for _, s in found.values()) > 0 and sum(g for g, _ in found.values()) == pytest.approx(1)
+
+
+def test_publish_vectors_predictions_and_package(spark, tmp_path):
+    path = str(tmp_path / "p")
+    assert sinks.publish(spark.range(3), path).count() == 3
+    old = spark.read.parquet(path)
+    assert sinks.publish(old.filter("id > 0"), path).count() == 2  # a table may be replaced by what reads it
+    assert [f.name for f in tmp_path.iterdir()] == ["p"]
+    calls = []
+    encode = lambda r: (calls.append(1), r.select("id", F.array(F.col("id").cast("float")).alias("embedding")))[1]
+    for n in (3, 3, 4):
+        assert sinks.vectors(spark, str(tmp_path), "train", "org/e5-small", spark.range(n), encode).count() == n
+    assert len(calls) == 2 and readers.read_vectors(spark, str(tmp_path / "e5_small" / "train")).count() == 4
+    scored = spark.createDataFrame([("a", "x", 0.9, 1), ("a", "y", 0.2, 0)], f"{S1} string, {CAND} string, score double, label int")
+    assert [r["predicted"] for r in sinks.write_predictions(scored, str(tmp_path / "q"), 0.5).orderBy(CAND).collect()] == [1, 0]
+    sinks.write_metrics(spark, {"f05": 0.5, "n": 3}, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first()["f05"] == 0.5
+    import zipfile
+
+    ids = spark.createDataFrame([("a", 0), ("b", 1)], f"{S1} string, ordinal long")
+    sinks.export_submission(str(tmp_path / "out"), ids, scored, scored.filter("score > 0.5"))
+    sinks.package(spark, {"matches.tsv": str(tmp_path / "out" / "matches"), "candidates.tsv": str(tmp_path / "out" / "candidates")}, str(tmp_path / "s.zip"))
+    with zipfile.ZipFile(tmp_path / "s.zip") as z:
+        assert z.read("matches.tsv").decode() == f"{S1}\tmatched_entity_ids\na\tx\nb\t\n" and z.read("candidates.tsv").decode().endswith("a\tx,y\nb\t\n")
+
+
+def test_run_as_one_step_and_missing_files(spark, tmp_path):
+    a, b = sides(spark)
+    found = {r["rule"]: r["n_offenders"] for r in linkage.run_test(spark, str(tmp_path / "o"), a, b, config=linkage.Config(threshold=0.5)).collect()}
+    assert "malformed" in found and not any(found.values())
+    (tmp_path / "empty").write_text("")
+    ids = a.select(F.col("entity_id").alias(S1))
+    rows = [(r["rule"], r["severity"]) for r in validate.report_files(spark, str(tmp_path / "none"), str(tmp_path / "empty"), ids).collect()]
+    assert rows == [("file none: the file is missing", "error"), ("file empty: the file is empty", "error")]
+
+
+def test_link_computes_features_once(spark):
+    a, b = sides(spark)
+    plan = linkage.link(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1 and plan.count("Scan parquet") <= 4
+
+
 def test_link_and_incremental(spark, tmp_path):
     a, b = sides(spark)
     found = {(r[S1], r[CAND]) for r in linkage.link(a, b, config=linkage.Config(threshold=0.5)).collect()}

@@ -18,7 +18,7 @@ def documents(spark, folder, rows):
 def test_records_hold_whole_texts(spark, tmp_path):
     texts = {0: "One. Two\nthree", 1: "no end", 2: "", 3: "line\n" + "x" * 5000, 4: None}
     d = documents(spark, tmp_path, [(i, t, "en") for i, t in texts.items()])
-    got = {r["entity_id"]: (r["name"], r["address"]) for r in views.whole_rec(spark, d).collect()}
+    got = {r["entity_id"]: (r["name"], r["address"]) for r in views.rec(spark, d).collect()}
     assert got[0] == ("One.", " Two\nthree") and got[1] == ("no end", "") and got[4] == (None, None)
     assert all("".join(got[i]) == t for i, t in texts.items() if t is not None)
 
