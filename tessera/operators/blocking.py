@@ -1,8 +1,8 @@
 """Token blocking: an inverted-index join on rare tokens within a country.
 
 Names and addresses are two key spaces. A record of the reference source keeps its rarest keys; each key it shares with a
-target record adds its inverse document frequency to the pair's score. Keys above a document frequency are dropped, which
-bounds the rows that any key can make in the join.
+target record adds its inverse document frequency to the pair's score. Keys above a document frequency are dropped, so a
+key makes that many rows at most for each reference record that keeps it; how many of these there are is not bounded.
 """
 
 from __future__ import annotations

@@ -52,8 +52,8 @@ def expected_f05(q: np.ndarray) -> np.ndarray:
 
 
 def best_k(q: np.ndarray, most: int = MOST) -> int:
-    """How many of descending probabilities to predict; the smallest of equally good numbers."""
-    values = expected_f05(np.asarray(q, float)[:most])
+    """How many of descending probabilities to predict; the smallest of equally good numbers (to twelve digits)."""
+    values = np.round(expected_f05(np.asarray(q, float)[:most]), 12)
     k = 0
     for i in range(1, len(values)):
         if values[i] > values[k]:

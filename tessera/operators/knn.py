@@ -30,9 +30,10 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("emb_rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("emb_rank") < k)
 
 
-def knn_blocks(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "embedding", country: str = "country", is_s1: str = "is_source1", block: int = 4096, part: int = 65_536) -> DataFrame:
+def knn_blocks(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "embedding", country: str = "country", is_s1: str = "is_source1", block: int = 16_384, part: int = 16_384) -> DataFrame:
     """knn_pairs() by matrix products: queries of a country in blocks of about `block` rows by hash, targets in parts of
-    about `part`, each pair of a query block and a target part one group of bounded size; k rows a query leave it."""
+    about `part`, each pair of a query block and a target part one group of bounded size; k rows a query leave it. A query
+    travels once a part and a target once a block, so for groups of a given size equal sides move least."""
     spark = vectors.sparkSession
     s1 = F.col(is_s1)
     sizes = vectors.groupBy(country).agg(F.count(F.when(s1, 1)).alias("_n"), F.count(F.when(~s1, 1)).alias("_m")).filter("_n > 0 and _m > 0")

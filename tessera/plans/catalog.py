@@ -12,6 +12,7 @@ from tessera.functions import text
 from tessera.operators import blocking, candidates, decide, exports, features, knn, labels, metrics, reports, sampling, validate, windows
 from tessera.operators.keys import CAND, PAIR, S1
 from tessera.sources import sinks
+from tessera.sources.stages import staged
 
 from . import models, views
 from .views import EDGE, SEP, sql
@@ -264,8 +265,10 @@ def _(spark, d):
       left join cands c on c.s1 = tp.s1 and c.cand = tp.matched_id group by 1) g on g.country = q.country""", "tp", "cands"))
 def _(spark, d):
     (a, b), (selected, keys) = _selected(spark, d)
+    selected, keys = staged(selected, "selected"), staged(keys, "keys")  # read by the candidates and by the ceiling
+    found = staged(blocking.top_k(blocking.pair_scores(selected, keys), TOP_K), "candidates")
     t = _same(spark, d).select(S1, "matched_id")
-    out = blocking.diagnostics(a, b, _candidates(spark, d), t, blocking.recall_ceiling(t, selected, keys))
+    out = blocking.diagnostics(a, b, found, t, blocking.recall_ceiling(t, selected, keys))
     return out.withColumns({c: r6(c) for c in ("avg_candidates_per_entity", "reduction_ratio", "recall_ceiling", "recall_at_k")})
 
 
@@ -305,7 +308,7 @@ def _token_like(spark, d):
 
 @query("candidate_union", sql(f"select coalesce(t.s1, e.s1) as s1, coalesce(t.cand, e.cand) as cand, coalesce(t.country, e.country) as country, round(coalesce(score, 0), 6) as score, round(emb_score, 6) as emb_score, emb_rank from {_TOKENS} t full join knn e on t.s1 = e.s1 and t.cand = e.cand", "knn"))
 def _(spark, d):
-    u = candidates.candidate_union(_token_like(spark, d), knn.knn_pairs(views.vec(spark, d), 3))
+    u = candidates.candidate_union(_token_like(spark, d), knn.knn_blocks(views.vec(spark, d), 3))
     return u.withColumns({"score": r6("score"), "emb_score": r6("emb_score")})
 
 
@@ -317,7 +320,7 @@ def _(spark, d):
     v = views.vec(spark, d)
     q = v.filter("is_source1").select(F.col("id").alias(S1), "country", F.when(F.col("id") % 2 == 0, "latin").otherwise("other").alias("script"))
     t = q.join(v.filter("not is_source1").select(F.col("id").alias("matched_id"), "country"), "country").filter((F.col(S1) + F.col("matched_id")) % 10 == 1)
-    out = knn.recall_report(t, _token_like(spark, d), knn.knn_pairs(v, 3), ks=(1, 3), token_k=4)
+    out = knn.recall_report(t, _token_like(spark, d), knn.knn_blocks(v, 3), ks=(1, 3), token_k=4)
     return out.withColumns({c: r6(c) for c in out.columns if "_at_" in c})
 
 
@@ -336,7 +339,7 @@ def _(spark, d):
     from (select *, case when row_number() over w = 1 then nth_value(cand, 2) over (w rows between unbounded preceding and unbounded following) else first_value(cand) over (w rows between unbounded preceding and unbounded following) end as partner from knn window w as (partition by s1 order by emb_score desc, cand)) p
     left join vec a on a.id = p.cand left join vec b on b.id = p.partner""", "knn"))
 def _(spark, d):
-    k = knn.knn_pairs(views.vec(spark, d), 3)
+    k = knn.knn_blocks(views.vec(spark, d), 3)
     out = windows.coherence(k, views.vec(spark, d), "emb_score", source=lambda c: text.source_of(c.cast("string")))
     return out.select(*PAIR, "country", "partner", r6("coh_cos").alias("coh_cos"), "coh_other_source")
 
@@ -453,7 +456,7 @@ def _(spark, d):
     row_number() over (partition by s1 order by emb_score desc nulls last, score desc, cand) - 1 as emb_cos_rank
     from (select coalesce(t.s1, e.s1) as s1, coalesce(t.cand, e.cand) as cand, coalesce(score, 0) as score, emb_score from {_TOKENS} t full join knn e on t.s1 = e.s1 and t.cand = e.cand)""", "knn"))
 def _(spark, d):
-    u = windows.embedding_features(candidates.candidate_union(_token_like(spark, d), knn.knn_pairs(views.vec(spark, d), 3)))
+    u = windows.embedding_features(candidates.candidate_union(_token_like(spark, d), knn.knn_blocks(views.vec(spark, d), 3)))
     return u.select(*PAIR, r6("emb_cos").alias("emb_cos"), r6("emb_cos_gap").alias("emb_cos_gap"), "from_token", "emb_cos_rank")
 
 
@@ -614,7 +617,20 @@ def _(spark, d):
     return dist.select(S1, *(r6(F.get("x", F.lit(i))).alias(f"p{i}") for i in range(3)))
 
 
-@query("expected_f")
+_DIST = lambda p: f"list_reduce(list_transform({p}, lambda x: [x]), lambda d, x: list_transform(range(0, len(d) + 1), lambda i: coalesce(d[i + 1], 0) * (1 - x[1]) + coalesce(d[i], 0) * x[1]), [1.0::double])"
+
+
+@query("expected_f", sql(f"""select s1, cand, score from (select *, row_number() over (partition by cand order by score desc, s1) as place from (
+      select a.s1, a.cand, a.score from ranked a join chosen c using (s1) where a.r <= c.k
+      union all select s1, cand, score from known where not ambiguous and score >= 0.75)) where place = 1""", "pairs").replace("\nselect s1, cand, score from (select *, row", f""",
+    known as (select *, max((score between 0.2 and 0.95)::int) over (partition by s1) = 1 as ambiguous from pairs where score >= 0.01),
+    ranked as (select *, row_number() over (partition by s1 order by score desc, cand) as r from known where ambiguous qualify r <= 30),
+    lists as (select s1, list(score order by r) as p from ranked group by s1),
+    tries as (select s1, k, {_DIST('p[1:k]')} as heads, {_DIST('p[k + 1:]')} as tails, len(p) - k as rest from (select s1, p, unnest(range(0, len(p) + 1)) as k from lists)),
+    valued as (select s1, k, case when k = 0 then tails[1] else list_sum(flatten(list_transform(range(0, k + 1), lambda h: list_transform(range(0, rest + 1), lambda m:
+      heads[h + 1] * tails[m + 1] * 1.25 * h / (1.25 * h + 0.25 * m + (k - h)))))) end as v from tries),
+    chosen as (select s1, k from (select *, row_number() over (partition by s1 order by round(v, 12) desc, k) as place from valued) where place = 1)
+select s1, cand, score from (select *, row"""))
 def _(spark, d):
     return decide.expected_f_matches(views.pairs(spark, d), 0.75).select(*PAIR, "score")
 
