@@ -849,10 +849,16 @@ def _(spark, d):
     return exports.triplets(t, views.pairs(spark, d), _texts(spark, d), by=sampling.arithmetic_hash(F.col(S1) * 10000 + F.col("matched_id")))
 
 
-@query("same_source_negatives")
+@query("same_source_negatives", sql(rf"""with parts as (
+      select entity_id as id, name || ', ' || address as text, string_split(name, ' ')[1] as head, array_to_string(list_sort(list_filter(list_transform(string_split(address, ','), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '[0-9]'))), ',') as city,
+        list_filter(list_transform(string_split(address, ','), lambda x: trim(x)), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda t: regexp_full_match(t, '[0-9]+'))) > 0)[1] as street from addr where address is not null),
+    kinds as (select city, 'head' as kind, head as of, id, text from parts where head <> '' union all select city, 'street', street, id, text from parts where street <> ''),
+    follow as (select id, text, lead(id) over w as cand, lead(text) over w as text_b from kinds window w as (partition by city, kind, of order by {_HASH('id')}, id))
+    select distinct id as s1, cand, 0 as label from follow where cand is not null and text <> text_b""", "addr").replace("\nwith parts as", ",\nparts as"))
 def _(spark, d):
     a = views.addr(spark, d).filter("address is not null").select(F.col("entity_id").alias("id"), "name", "address")
-    return exports.same_source_negatives(a.withColumn("text", text.record_text(F.col("name"), F.col("address")))).select(*PAIR, "label")
+    a = a.withColumn("text", text.record_text(F.col("name"), F.col("address")))
+    return exports.same_source_negatives(a, by=sampling.arithmetic_hash(F.col("id"))).select(*PAIR, "label")
 
 
 @query("word_freq", r"""with w as (select unnest(list_filter(regexp_split_to_array(p_name, '[\s,]+'), lambda t: t <> '')) as word from part)
