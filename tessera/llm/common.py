@@ -50,13 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, df_or_path) -> None:
-    """Deletes a table of written() that no later plan reads, to free disk."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else df_or_path.inputFiles()[:1]
-    for p in paths:
-        folder = p if isinstance(df_or_path, str) else p.rpartition("/")[0]
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later plan reads, to free disk."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(columns: list[str], name: str) -> str:

@@ -30,7 +30,7 @@ from .common import IS_SPACE, arrow_bytes, bounded_batches, in_slices, mix64, re
 #: A passage of another document counts from WORDS words on (or LENGTH bytes, if these are fewer). A gram may not be longer
 #: than the shortest window: 2 * WORDS - 1 bytes.
 LENGTH, WORDS, GRAM = 400, 51, 96
-SLICE, PIECE = 500_000, 8_000_000
+SLICE, PIECE = 50_000, 8_000_000
 BLOCK, STRETCH = 1 << 17, 1 << 20
 #: Bits of the filter of repeated anchors: BITS_EACH an anchor, MOST_BITS (16 MB) at most, which bounds its broadcast.
 BITS_EACH, MOST_BITS = 16, 2**27
@@ -62,52 +62,78 @@ class Hashes:
             return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
-def windows(x: np.ndarray, offsets: np.ndarray, length: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of texts: the end of the window that begins there (0 if none fits into its text), its text's end, and
-    whether a word begins there. words 0: windows of `length` bytes only."""
+def windows(x: np.ndarray, offsets: np.ndarray, length: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of texts: the end of the window that begins there (0 if none fits into its text), and whether a word
+    begins there. words 0: windows of `length` bytes only."""
     n = len(x)
-    place, none = np.arange(n), np.iinfo(np.int64).max
-    upto = np.repeat(offsets[1:], np.diff(offsets))
-    end = np.where(place + length <= upto, place + length, none)
-    begins = np.zeros(n, bool)
-    if words:
-        starts, ends, _ = words_of(x, offsets)
-        begins[starts] = True
-        passed = np.zeros(n + 1, np.int64)
-        passed[ends] = 1
-        at = np.cumsum(passed)[:n] + words - 1  # the place of the window's last word among all
-        last = np.r_[ends, np.full(words, none)][at]
-        end = np.minimum(end, np.where(last <= upto, last, none))
-    end[end == none] = 0
-    return end, upto, begins
+    end = np.arange(length, n + length, dtype=np.int32)
+    begins, cuts = np.zeros(n, bool), offsets.tolist()
+    if not words:
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            end[max(a, b - length + 1) : b] = 0
+        return end, begins
+    starts, ends, counts = words_of(x, offsets)
+    begins[starts] = True
+    # bytes up to a word's end have as many words behind them as that word: theirs end with the same word
+    last = np.full(len(ends) + 1, n + length, np.int32)
+    last[: max(0, len(ends) - words + 1)] = ends[words - 1 :]
+    upon = np.repeat(last, np.diff(ends, prepend=0, append=n))
+    at = 0
+    for a, b, count in zip(cuts[:-1], cuts[1:], counts.tolist()):
+        at += count
+        by_bytes, by_words = max(a, b - length + 1), int(ends[at - words]) if count >= words else a  # where either stops to fit
+        if by_words < by_bytes:
+            upon[by_words:by_bytes] = n + length
+        else:
+            end[by_bytes:by_words] = n + length
+        upon[max(by_bytes, by_words) : b] = 0
+    return np.minimum(end, upon), begins
+
+
+_LEVEL = np.zeros(1, np.int8)
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    """The binary logarithm of each of n, rounded down; -1 for 0."""
+    global _LEVEL
+    most = int(n.max(initial=0))
+    if len(_LEVEL) <= most:
+        _LEVEL = (np.frexp(np.arange(2 * most + 2).astype(float))[1] - 1).astype(np.int8)
+    return _LEVEL[n]
 
 
 def _least(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The least of values[start : start + n] for each pair, n from 1 on."""
     out = np.empty(len(start), values.dtype)
-    level = np.frexp(n.astype(float))[1] - 1
-    table = values
-    for k in range(int(level.max()) + 1 if len(level) else 0):
+    if not len(start):
+        return out
+    level = _levels(n)
+    table, buffers = values, (np.empty_like(values), np.empty_like(values))
+    for k, some in enumerate(np.bincount(level).tolist()):
         if k:
             half = 1 << (k - 1)
-            table = np.minimum(table[:-half], table[half:])
-        own = np.flatnonzero(level == k)
-        if len(own):
-            out[own] = np.minimum(table[start[own]], table[start[own] + n[own] - (1 << k)])
+            to = buffers[k % 2]
+            table = np.minimum(table[:-half], table[half:], out=to[: len(table) - half])
+        if some == len(start):
+            return np.minimum(table[start], table[start + n - (1 << k)])
+        if some:
+            own = np.flatnonzero(level == k)
+            s = start[own]
+            out[own] = np.minimum(table[s], table[s + n[own] - (1 << k)])
     return out
 
 
-def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, words: int = WORDS, gram: int = GRAM, hashed: bool = True):
+def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, words: int = WORDS, gram: int = GRAM):
     """Of texts: (text, first window, last window, end, has, begins, anchor hash, two hashes) of their segments; places are
     in x. end: of the bytes that count, `length` from the last window's begin if the text is so long. has: a word begins
-    at one of its windows; begins: at its first. The two hashes are left out (empty) unless hashed."""
+    at one of its windows; begins: at its first."""
     empty = np.zeros(0, np.uint64)
     none = *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool), np.zeros(0, bool), empty, empty, empty
     gram = min(gram, length, 2 * words - 1) if words else min(gram, length)
     if len(x) < gram:
         return none
-    end, upto, begins = windows(x, offsets, length, words)
-    fits = np.flatnonzero(end)
+    end, begins = windows(x, offsets, length, words)
+    fits = np.flatnonzero(end).astype(np.int32)
     if not len(fits):
         return none
     one = Hashes(x, _LUT[0])
@@ -115,54 +141,53 @@ def segments(x: np.ndarray, offsets: np.ndarray, length: int = LENGTH, words: in
     with np.errstate(over="ignore"):
         grams = mix64((one.sums[gram:] - one.sums[:n_grams]) * one.inverse[:n_grams])
     packed = (grams & ~np.uint64(2**24 - 1)) | np.arange(n_grams, dtype=np.uint64)
-    anchor = (_least(packed, fits, end[fits] - gram - fits + 1) & np.uint64(2**24 - 1)).astype(np.int64)
-    text = np.searchsorted(offsets, fits, side="right") - 1
-    new = np.r_[True, (np.diff(fits) != 1) | (np.diff(anchor) != 0) | (np.diff(text) != 0)]
-    first, last = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True])
-    s0, s1, text, anchor = fits[first], fits[last], text[first], anchor[first]
-    stop = np.minimum(s1 + length, upto[s1])
+    least = _least(packed, fits, (end if len(fits) == len(x) else end[fits]) - np.int32(gram - 1) - fits)
+    # a new segment: another anchor, windows left out between, or another text
+    new = np.r_[True, (least[1:] != least[:-1]) | (fits[1:] - fits[:-1] != 1)]
+    new[np.searchsorted(fits, offsets[:-1])[np.isin(offsets[:-1], fits)]] = True
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(fits)] - 1
+    s0, s1 = fits[first].astype(np.int64), fits[last].astype(np.int64)
+    anchor = (least[first] & np.uint64(2**24 - 1)).astype(np.int64)
+    text = np.searchsorted(offsets, s0, side="right") - 1
+    stop = np.minimum(s1 + length, offsets[text + 1])
     seen = np.r_[0, np.cumsum(begins)]
     has = seen[s1 + 1] > seen[s0]
-    if not hashed:
-        return text, s0, s1, stop, has, begins[s0], grams[anchor], empty, empty
     inner = mix64((end[s1] - s0).astype(np.uint64))  # where the last window ends is a part of what must be equal
     return text, s0, s1, stop, has, begins[s0], grams[anchor], one.of(s0, stop) ^ inner, Hashes(x, _LUT[1]).of(s0, stop)
 
 
-def _over(data: np.ndarray, offsets: np.ndarray, length: int, words: int, hashed: bool = True):
+def _over(data: np.ndarray, offsets: np.ndarray, length: int, words: int):
     """segments() of a batch, slice by slice; long texts in pieces that overlap by more than the longest window and the
     bytes that count behind it. Places are in the text."""
     for lo, hi in in_slices(np.diff(offsets).tolist(), SLICE):
         base, size = int(offsets[lo]), int(offsets[hi] - offsets[lo])
         if hi - lo > 1 or size <= PIECE:
             off = offsets[lo : hi + 1] - base
-            text, s0, s1, stop, *rest = segments(data[base : base + size], off, length, words, hashed=hashed)
+            text, s0, s1, stop, *rest = segments(data[base : base + size], off, length, words)
             yield lo + text, s0 - off[text], s1 - off[text], stop - off[text], *rest
             continue
         for piece in range(0, size, PIECE):
             before = min(piece, 1)  # one byte more tells whether a word begins
             x = data[base + piece - before : base + min(size, piece + PIECE + length)]
-            text, s0, s1, stop, has, begins, *rest = segments(x, np.array([0, len(x)]), length, words, hashed=hashed)
+            text, s0, s1, stop, has, begins, *rest = segments(x, np.array([0, len(x)]), length, words)
             # windows from this piece's begin to the next one's; a segment that is cut there goes on in the next piece
-            yield from _cut(x, text, s0, s1, stop, has, begins, rest, before, min(PIECE, size - piece), piece - before, lo, length, words, hashed)
+            yield from _cut(x, text, s0, s1, stop, has, begins, rest, before, min(PIECE, size - piece), piece - before, lo, length, words)
 
 
-def _cut(x, text, s0, s1, stop, has, begins, rest, least, most, shift, place, length, words, hashed):
+def _cut(x, text, s0, s1, stop, has, begins, rest, least, most, shift, place, length, words):
     """The segments that lie within [least, least + most) of a piece x of a long text; cut ones are described anew."""
     inside = (s0 >= least) & (s1 < least + most)
-    yield place + text[inside], s0[inside] + shift, s1[inside] + shift, stop[inside] + shift, has[inside], begins[inside], *(r[inside] if len(r) else r for r in rest)
+    yield place + text[inside], s0[inside] + shift, s1[inside] + shift, stop[inside] + shift, has[inside], begins[inside], *(r[inside] for r in rest)
     crossing = np.flatnonzero(~inside & (s1 >= least) & (s0 < least + most))
     if not len(crossing):
         return
-    end, upto, word = windows(x, np.array([0, len(x)]), length, words)
+    end, word = windows(x, np.array([0, len(x)]), length, words)
     seen = np.r_[0, np.cumsum(word)]
     a, b = np.maximum(s0[crossing], least), np.minimum(s1[crossing], least + most - 1)
-    upon = np.minimum(b + length, upto[b])
-    h, one, two = rest[0][crossing], rest[1], rest[2]
-    if hashed:
-        one = Hashes(x, _LUT[0]).of(a, upon) ^ mix64((end[b] - a).astype(np.uint64))
-        two = Hashes(x, _LUT[1]).of(a, upon)
-    yield place + text[crossing], a + shift, b + shift, upon + shift, seen[b + 1] > seen[a], word[a], h, one, two
+    upon = np.minimum(b + length, len(x))
+    one, two = (Hashes(x, lut).of(a, upon) for lut in _LUT)
+    yield place + text[crossing], a + shift, b + shift, upon + shift, seen[b + 1] > seen[a], word[a], rest[0][crossing], one ^ mix64((end[b] - a).astype(np.uint64)), two
 
 
 # ---- sorting a shard on disk ------------------------------------------------------------------------------------------
@@ -317,7 +342,7 @@ def _agree(t: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.
     """In how many letters t agrees from p and from q on, `most` at most, which may not reach beyond p's text. Four letters
     at a time, in blocks of pairs."""
     four = np.ndarray((len(t) - 3,), np.uint64, t, 0, (2,))
-    out = np.zeros(len(p), np.int64)
+    out = np.zeros(len(p), p.dtype)
     for a in range(0, len(p), BLOCK):
         live, k = np.flatnonzero(most[a : a + BLOCK]) + a, 0
         while len(live):
@@ -336,12 +361,10 @@ def _seed_prefixes(t: np.ndarray, order: np.ndarray, left: np.ndarray, place: np
     seeds of such chains are compared letter by letter.
     """
     n = len(order)
-    before, by_text = np.full(n, -1, np.int64), np.empty(n, np.int64)
+    before, by_text, prefix, rest = np.full(n, -1, order.dtype), np.empty(n, order.dtype), np.zeros(n, order.dtype), np.empty(n, order.dtype)
     by_text[place] = order
     before[place[1:]] = order[:-1]
-    prefix = np.zeros(n, np.int64)
     open_ = before >= 0
-    rest = np.empty(n, np.int64)
     rest[place] = left
     while open_.any():
         at = np.flatnonzero(open_)
@@ -360,7 +383,7 @@ def _seed_prefixes(t: np.ndarray, order: np.ndarray, left: np.ndarray, place: np
 def suffix_order(t: np.ndarray, folder: str, depth: int):
     """Blocks of (positions, common prefixes with the one before) of t (letters; 0 ends a text, the last is followed by
     three more) in suffix order; order and prefixes are right up to `depth` letters."""
-    is_l = np.lib.format.open_memmap(f"{folder}/types.npy", "w+", bool, (len(t),))
+    is_l = np.asarray(np.lib.format.open_memmap(f"{folder}/types.npy", "w+", bool, (len(t),)))
     _types(t, is_l)
     seed = (np.flatnonzero(~is_l[1:] & is_l[:-1]) + 1).astype(_kind(t))
     if not len(seed):
@@ -378,7 +401,7 @@ def suffix_order(t: np.ndarray, folder: str, depth: int):
             q.put(*(v[by[a:e]] for v in (positions, *prefix)))
         return out
 
-    is_seed = np.lib.format.open_memmap(f"{folder}/seeds.npy", "w+", bool, (len(t),))
+    is_seed = np.asarray(np.lib.format.open_memmap(f"{folder}/seeds.npy", "w+", bool, (len(t),)))
     is_seed[seed] = True
     # substrings from seed to seed, sorted by a first run with seeds in any order
     seeds = queues(seed, "seed")
@@ -388,33 +411,43 @@ def suffix_order(t: np.ndarray, folder: str, depth: int):
         q.drop()
     order = np.concatenate(order).astype(_kind(t)) if order else np.zeros(0, _kind(t))
     order = np.r_[ends[is_seed[ends]].astype(_kind(t)), order[t[order] > 0]]
-    place = np.searchsorted(seed, order)
+    place = np.searchsorted(seed, order).astype(_kind(t))
     # equal neighbours: as long as each other, and equal letter by letter
-    size = np.diff(np.r_[seed, len(t) - 3])[place]
-    left = (ends[np.searchsorted(ends, order)] - order).astype(np.int64)
+    size = np.diff(seed, append=_kind(t)(len(t) - 3))[place]
+    left = (ends[np.searchsorted(ends, order)] - order).astype(_kind(t))
     size, inner = np.minimum(size, left), t[order[1:]] > 0
     same = inner & (size[1:] == size[:-1]) & (left[1:] >= size[1:])
     pair = np.flatnonzero(same)
-    same[pair] = _agree(t, order[pair + 1], order[pair], size[pair + 1].astype(np.int64)) == size[pair + 1]
+    same[pair] = _agree(t, order[pair + 1], order[pair], size[pair + 1]) == size[pair + 1]
     # the substring holds the next seed's letter too; what ends a text is equal to nothing
     after, other = order[pair + 1] + size[pair + 1], order[pair] + size[pair]
     same[pair] &= (t[after] == t[other]) & (t[after] > 0)
+    # a name is the place of the first of those with the same substring
+    first = np.flatnonzero(np.r_[True, ~same])
+    size = np.diff(np.r_[first, len(order)])
     rank = np.zeros(len(seed), _kind(t))
-    rank[place] = np.cumsum(np.r_[0, ~same], dtype=_kind(t))
-    del order, size, left, inner, same, pair, after, other, place
+    rank[place] = np.repeat(first, size)
+    active = np.sort(place[np.repeat(size > 1, size)])
+    del order, size, left, inner, same, pair, after, other, place, first
     k = 1
-    while 2 * k < depth and int(rank.max()) + 1 < len(rank):  # names of 2k substrings, of two letters at least, from names of k
-        key = rank.astype(np.uint64) << np.uint64(32)
-        key[: max(0, len(rank) - k)] |= (rank[k:] + 1).astype(np.uint64)
+    while 2 * k < depth and len(active):  # names of 2k substrings, of two letters at least, from names of k; where names are shared
+        behind = active + k
+        key = rank[active].astype(np.uint64) << np.uint64(32)
+        some = np.flatnonzero(behind < len(rank))
+        key[some] |= (rank[behind[some]] + 1).astype(np.uint64)
         by = np.argsort(key)
-        key.sort()
-        rank[by] = np.cumsum(np.r_[True, key[1:] != key[:-1]], dtype=_kind(t)) - 1
-        del by
+        key, active = key[by], active[by]
+        old, new = np.r_[True, key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)], np.r_[True, key[1:] != key[:-1]]
+        place = np.arange(len(key))
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        rank[active] += (start - np.maximum.accumulate(np.where(old, place, 0))).astype(rank.dtype)
+        alone = new & np.r_[new[1:], True]
+        active = np.sort(active[~alone])
         k *= 2
-    place = np.argsort(rank, kind="stable")
+    place = np.argsort(rank, kind="stable").astype(_kind(t))
     del rank
     order = seed[place]
-    prefix = _seed_prefixes(t, order.astype(np.int64), ends[np.searchsorted(ends, order)] - order, place, depth)
+    prefix = _seed_prefixes(t, order, (ends[np.searchsorted(ends, order)] - order).astype(_kind(t)), place, depth)
     l, s, middle = _induce(t, is_l, queues(order, "sorted", prefix), folder, "b", depth)
     for c in sorted({*l, *s}):
         if c:
@@ -434,7 +467,8 @@ def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarra
     documents hold it): the places at which a string of `length` bytes starts that starts elsewhere too; and whether a
     window at which a word begins is held by another document.
 
-    Sorting takes some 28 bytes of memory a seed (every third byte of the text at most); all else is in files.
+    Sorting holds arrays of the seeds (every third byte of the text or so) in memory, some 30 bytes a byte of the text as
+    measured; all else is in files.
     """
     folder = tempfile.mkdtemp(prefix="suffix-")
     try:
@@ -448,7 +482,7 @@ def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarra
                 x, off = np.frombuffer(b"".join(h[0] for h in held), np.uint8), np.cumsum([0, *(len(h[0]) for h in held)])
                 wide = np.zeros(len(x), np.int16)
                 if words and len(x):
-                    end, _, word = windows(x, off, length, words)
+                    end, word = windows(x, off, length, words)
                     of = np.repeat(np.arange(len(held)), np.diff(off))
                     far = np.arange(len(x)) - off[of]
                     n, begins = np.array([h[1] for h in held])[of], np.array([h[2] for h in held], bool)[of]
@@ -474,9 +508,9 @@ def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarra
             text.write(b"\0" * 6)
         if not document:
             return [], np.zeros(0, bool)
-        t, wide = np.memmap(f"{folder}/text", np.uint16, "r"), np.memmap(f"{folder}/windows", np.int16, "r")
+        t, wide = (np.asarray(np.memmap(f"{folder}/{n}", k, "r")) for n, k in (("text", np.uint16), ("windows", np.int16)))  # plain views: slices cost less
         offsets, document, many = np.array(offsets), np.array(document, np.int64), np.array(many, bool)
-        mark = np.lib.format.open_memmap(f"{folder}/marks.npy", "w+", bool, (len(t),))
+        mark = np.asarray(np.lib.format.open_memmap(f"{folder}/marks.npy", "w+", bool, (len(t),)))
         shared = np.zeros(len(document), bool)
         before, last, low = -1, -1, 0  # the suffix before, the last one with a window of its own, the least prefix since
         for p, prefix in suffix_order(t, folder, length):
@@ -492,9 +526,11 @@ def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarra
             common = np.minimum.reduceat(prefix[: at[-1] + 1], np.r_[0, at[:-1] + 1])
             common[0] = min(common[0], low)
             q = np.r_[last, p[at]]
-            a, b = np.searchsorted(offsets, q[:-1], side="right") - 1, np.searchsorted(offsets, q[1:], side="right") - 1
-            found = (common >= wide[q[1:]]) & (wide[q[:-1]] == wide[q[1:]]) & (q[:-1] >= 0) & ((document[a] != document[b]) | many[a] | many[b])
-            shared[a[found]] = shared[b[found]] = True
+            own = wide[q]
+            same = np.flatnonzero((common >= own[1:]) & (own[:-1] == own[1:]) & (q[:-1] >= 0))
+            a, b = np.searchsorted(offsets, q[same], side="right") - 1, np.searchsorted(offsets, q[same + 1], side="right") - 1
+            other = (document[a] != document[b]) | many[a] | many[b]
+            shared[a[other]] = shared[b[other]] = True
             last, low = int(q[-1]), int(prefix[at[-1] + 1 :].min(initial=length))
         return [np.flatnonzero(mark[s : e - 1]) for s, e in zip(offsets[:-1], offsets[1:])], shared
     finally:
@@ -548,28 +584,31 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, words: int = WORDS) -
     ones only say whether a window at which a word begins is held by another document too (shared)."""
     spark = rows.sparkSession
 
-    def anchors(batches):
-        for b in batches:
-            yield _columns("h long", [g[6].view(np.int64) for g in _over(*arrow_bytes(b.column(0)), length, words, hashed=False)] or [np.zeros(0, np.int64)])
-
-    again = rows.select("_text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    again = written(again, "anchors")
-    shared = spark.sparkContext.broadcast(_bits(again))
-    remove(spark, again)
-
     def parts(batches):
-        bits = shared.value
         for b in batches:
             uid, did = (b.column(i).to_numpy() for i in (0, 1))
             out = [[] for _ in range(10)]
             for text, s0, s1, stop, has, begins, h, x, y in _over(*arrow_bytes(b.column(2)), length, words):
-                at = (h & np.uint64(len(bits) * 64 - 1)).astype(np.int64)
-                keep = (bits[at >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1
                 for o, v in zip(out, (uid[text], did[text], s0, s1 - s0, stop - s0, has, begins, h.view(np.int64), x.view(np.int64), y.view(np.int64))):
-                    o.append(v[keep])
+                    o.append(v)
             yield _columns(SEGMENT, *out)
 
-    found = written(rows.mapInArrow(parts, SEGMENT), "segments")
+    every = written(rows.mapInArrow(parts, SEGMENT), "segments")
+    anchors = written(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors")
+    shared = spark.sparkContext.broadcast(_bits(anchors))
+    remove(anchors)
+
+    def again(batches):
+        import pyarrow as pa
+
+        bits = shared.value
+        for b in batches:
+            h = b.column(7).to_numpy().view(np.uint64)
+            at = (h & np.uint64(len(bits) * 64 - 1)).astype(np.int64)
+            yield b.filter(pa.array((bits[at >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1))
+
+    found = written(every.mapInArrow(again, SEGMENT), "found")
+    remove(every)
     same = ["h", "x", "y", "w", "size"]
     kinds_of = found.groupBy(*same).agg(F.count("*").alias("n"), (F.min("uid") != F.max("uid")).alias("many"), F.min(F.struct("uid", "did", "s0", "begins")).alias("one"))
     kinds_of = written(kinds_of, "kinds")
@@ -616,8 +655,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, words: int = WORDS) -
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task's queues take some 24 bytes a letter of disk
     sorted_ranges = pieces.repartition(partitions, "h").mapInArrow(sort, FOUND)
     out = written(ranges.filter("e > s or shared").unionByName(sorted_ranges), "ranges")
-    remove(spark, found)
-    remove(spark, kinds_of)
+    remove(found, kinds_of)
     return out
 
 
