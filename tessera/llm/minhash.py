@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_bytes, bounded_batches, in_slices, mix64, packed, unpacked, words_of, written
+from .common import SPACES, arrow_bytes, bounded_batches, in_slices, mix64, packed, remove, unpacked, words_of, written
 
 #: Sketches of each collection, and minhashes of a sketch: a pair at similarity 0.85 meets in some table with
 #: probability (1 - (1 - 0.85 ** R) ** M) ** 2 = 0.999, one at 0.9 with 0.9999.
@@ -333,7 +333,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while (now := tuple(state(e))) != before:
-        before = now
+        before, last = now, e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
@@ -342,6 +342,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         e = written(small.filter("a != b").distinct(), "small")
+        remove(last, large)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -372,6 +373,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     found = compared.filter("linked").unionByName(few.filter("linked")).select(F.col("c").alias("a"), F.col("node").alias("b"))
     edges = found.unionByName(_block_links(families, sets, percent))
     roots = components(edges)
+    remove(pairs, sets, compared, left, chained)
     rows = sig.drop("sketch").join(classes.drop("sketch"), ["n", "one", "two"], "left").join(roots, "node", "left")
     kind = docs.schema[key].dataType
     component = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, global_rank, packed, unpacked, with_small, written
+from .common import WORD, global_rank, packed, remove, unpacked, with_small, written
 
 #: The hash has 60 bits, refined 12 bits at a time.
 HASH_BITS, STEP_BITS = 60, 12
@@ -100,7 +100,9 @@ def mix_goals(docs: DataFrame, weights: tuple[int, ...], share: float, most: flo
     targets = written(source_targets(sized, weights, share, most), "targets")
     cuts = written(_thresholds(sized.filter("size > 0"), targets), "cuts")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    return written(targets.join(cuts.drop("_full"), "_skey", "left").withColumn("_full", full), "goals")
+    goals = written(targets.join(cuts.drop("_full"), "_skey", "left").withColumn("_full", full), "goals")
+    remove(sized, targets, cuts)
+    return goals
 
 
 def _taken(whole_documents: bool) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_bytes, bounded_batches, free_name, in_slices, mix64, written
+from .common import arrow_bytes, bounded_batches, free_name, in_slices, mix64, remove, written
 
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 19
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int16()))], names=["label", "features"])
 
     got = rows.mapInArrow(features, "label int, features array<short>").toArrow().combine_chunks()
+    remove(some, rows, counted)
     y, lists = got.column("label").to_numpy().astype(float), got.column("features").combine_chunks()
     weight, bias = _regression(lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), y, scale)
     return Classifier(place, weight, bias)

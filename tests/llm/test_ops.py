@@ -40,7 +40,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def components_of(rows):
+def components_of(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
@@ -53,7 +53,7 @@ def components_of(rows):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -363,6 +363,45 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def buckets_brute(text):
+    """The buckets of a text's n-grams, one n-gram after another."""
+    x, out = (text or "").encode(), set()
+    x = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in x)
+    fold = [int(v) for v in toxicity.mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))]
+    base, full = int(toxicity._BASE), 2**64 - 1
+    for n in toxicity.GRAMS:
+        for i in range(len(x) - n + 1):
+            h = sum(fold[x[i + j]] * pow(base, j, 2**64) for j in range(n)) & full
+            out.add((((h ^ (h >> 29)) * (0xD6E8FEB86659FD93 + 2 * (n - 1))) & full) >> (64 - toxicity.BUCKET_BITS))
+    return out
+
+
+def score_brute(model, text):
+    z = model.bias + sum(model.weight[model.place[b]] for b in buckets_brute(text) if model.place[b] >= 0)
+    return 1 / (1 + np.exp(-min(40, max(-40, z))))
+
+
+def test_toxicity_features_and_scores_against_plain_python(spark):
+    rng = random.Random(19)
+    rows = [(i, prose(rng, rng.randint(0, 25)) + (" You MORON" + rng.choice([" scum\tidiot", ""]) if i % 3 == 0 and rng.random() < 0.9 else "")) for i in range(300)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    held = {c: [buckets_brute(t) for i, t in rows if int(i % 3 == 0) == c] for c in (0, 1)}
+    best = {}
+    for b in set().union(*held[0], *held[1]):
+        clean, toxic = (sum(b in x for x in held[c]) for c in (0, 1))
+        if clean + toxic >= toxicity.LEAST_DOCS:
+            ratio = np.log((toxic + 1) / (len(held[1]) + 2)) - np.log((clean + 1) / (len(held[0]) + 2))
+            z = abs(ratio) / np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
+            if z >= toxicity.LEAST_Z:
+                best[b] = z
+    assert set(np.flatnonzero(model.place >= 0).tolist()) == set(best) and best
+    some = [(1, "you moron and scum idiot"), (2, "plain"), (3, None), (4, ""), (5, "MORON" * 3000), *((100 + i, t) for i, t in rows[:20])]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(spark, some), model, ["doc_id"]).collect()}
+    assert all(got[i] == pytest.approx(score_brute(model, t), abs=1e-9) for i, t in some)
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "a"), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -571,6 +610,88 @@ def test_repeats_and_passages_of_short_windows(spark, monkeypatch):
 # ---- 9 --------------------------------------------------------------------------------------------------------------
 
 
+def test_curve_visits_neighbours():
+    """The curve passes every grid point once, and each step goes to a neighbour."""
+    from tessera.llm.hilbert import hilbert_index
+
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        points = np.stack(np.meshgrid(*[np.arange(2**bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        index = hilbert_index(points, bits)
+        assert sorted(index.tolist()) == list(range(len(points)))
+        assert (np.abs(np.diff(points[np.argsort(index)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_shards_against_a_plain_order(spark, tmp_path):
+    import zlib
+
+    from tessera.llm.hilbert import hilbert_index
+
+    rng = random.Random(26)
+    full = [(i, prose(rng, rng.randint(0, 300)) if i % 17 else None, rng.choice(["de", "en", "es", "fr"]), rng.choice([f"src{k}" for k in range(20)])) for i in range(800)]
+    full += [(900, "x", None, "src1"), (901, "x", "en", None), (902, "é" * 9000, "en", "src1")]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string").repartition(5)
+    name = lambda v: "b" if v is None else "a" + v
+    meta = []
+    for i, t, lang, source in full:
+        raw = (t or "").encode()
+        size = len(raw) + 1
+        digits = bin(size)[2:]
+        meta.append((name(lang), name(source), 2 * (len(digits) - 1) + (digits[1:2] == "1"), zlib.crc32(raw), i, size))
+    codes = []
+    for d in range(3):
+        values = sorted({m[d] for m in meta})
+        codes.append([values.index(m[d]) * 64 // len(values) for m in meta])
+    order = sorted(range(len(meta)), key=lambda k: (int(hilbert_index(np.array([[c[k] for c in codes]]), 6)[0]), *meta[k][3:]))
+    want = {}
+    for rank, k in enumerate(order):
+        shard = rank * 8 // len(meta)
+        want[meta[k][4]] = (shard, rank - -(-shard * len(meta) // 8))
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_plan(docs).collect()}
+    assert got == want
+    # a filter on a language, on a source or on short texts skips files by their minima and maxima
+    sharding.write_shards(docs, str(tmp_path / "s"), files=64)
+    import pyarrow.dataset as ds
+
+    files = [f.to_table() for f in ds.dataset(str(tmp_path / "s"), format="parquet").get_fragments()]
+    assert sum(f.num_rows for f in files) == len(full)
+
+    def skipped(column, low, high):
+        spans = [[v for v in f[column].to_pylist() if v is not None] for f in files]
+        return sum(not v or max(v) < low or min(v) > high for v in spans) / len(files)
+
+    assert all(skipped("lang", v, v) > 0.5 for v in ("de", "en", "es", "fr"))
+    assert sum(skipped("source", f"src{k}", f"src{k}") for k in range(20)) / 20 > 0.5
+    sizes = [[len((t or "").encode()) for t in f["text"].to_pylist()] for f in files]
+    assert sum(min(v) > 200 for v in sizes) / len(files) > 0.3
+
+
+def test_columns_whose_names_clash(spark, tmp_path):
+    """Further columns of any name come through the stages and the shard writer unchanged."""
+    import corpus_pipeline
+
+    names = "score score_ target source_size _size _h _skey _taken shard shard_ slot _k _id _row _text _order size doc".split()
+    rng = random.Random(27)
+    rows = [(i, prose(rng, rng.randint(0, 40)), "en", "ab"[i % 2]) for i in range(60)] + [(60, None, None, None), (None, "a b", "en", "a"), (61, "", "en", "a"), (3, "other words here", "en", "a"), (61, "", "en", "a")]
+    full = [(*r, *(f"{n}{k}" for n in names)) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    known = {f[4]: f for f in full}
+    sf = "/root/testdata/sf0.001"
+    for stage, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, sf)
+        assert out.columns == docs.columns, stage
+        found = [tuple(r) for r in out.collect()]
+        assert found and all(known[f[4]] == f or (stage == "personal data" and known[f[4]][4:] == f[4:]) for f in found), stage
+        assert function(spark, docs.limit(0), sf).count() == 0, stage
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    assert kept.count(3) == 2 and kept.count(61) == 1 and kept.count(None) == 1  # a repeated id: other words stay, equal rows are one
+    unique = docs.filter("doc_id < 60 and doc_id <> 3")
+    sharding.write_shards(unique, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in back.select(*docs.columns).collect()) == sorted(tuple(r) for r in unique.collect()) and "shard__" in back.columns
+    with pytest.raises(ValueError, match="repeats"):
+        sharding.write_shards(docs, str(tmp_path / "t"))
+
+
 def test_shards(spark, tmp_path):
     rng = random.Random(16)
     rows = [(i, prose(rng, rng.randint(0, 60)), rng.choice(["a", "b", "c", None] + ["hot"] * 4)) for i in range(203)] + [(1, None), (None, "é"), (5, "same"), (5, "same")]

@@ -6,7 +6,7 @@ import corpus_pipeline
 from tessera.llm import minhash, pii, queries
 from tessera.llm.common import written
 
-from test_ops import components_of, mix_brute
+from test_ops import components_of, mix_brute, score_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,9 +19,12 @@ def test_stages(spark):
         docs = written(stage(spark, docs, SF), "stage")
         assert docs.columns == columns, name
         counts.append(docs.count())
+        if name == "toxicity":
+            model = queries.toxicity_model(before, queries.table(spark, SF, "labels"))
+            assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect() if score_brute(model, r["text"]) < 0.5}
         if name == "near duplicates":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            want = {i for i, (_, c) in components_of(rows).items() if i == c}
+            want = {i for i, (_, c) in components_of(rows, 80).items() if i == c}
             assert {r["doc_id"] for r in docs.collect()} == want
         if name == "personal data":
             field = pii.train(pii.labelled_table(spark))
