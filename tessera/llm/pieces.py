@@ -22,7 +22,7 @@ from .common import SLICE, arrow_bytes, bounded_batches, in_slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words and pairs of pieces whose result a worker remembers.
-MEMO = 200_000
+MEMO = 600_000
 
 
 def _fields(raw: bytes):
