@@ -13,6 +13,10 @@ from tessera.sources import sinks
 from tessera.sources.stages import staged
 
 
+#: What the score of two names reads of a record.
+NAMED = ("entity_id", "country", "name_tokens")
+
+
 @dataclass(frozen=True)
 class Config:
     max_df: int = blocking.MAX_DF
@@ -34,14 +38,17 @@ def candidate_pairs(source1: DataFrame, targets: DataFrame, vectors: DataFrame |
 def scored_pairs(pairs: DataFrame, source1: DataFrame, targets: DataFrame, model=None) -> DataFrame:
     """(S1, candidate, score) of candidate pairs of cleaned records; without a model the IDF cosine of the names is the
     score."""
-    table = features.all_features(pairs, source1.unionByName(targets, allowMissingColumns=True))
     if model is None:
-        return table.select(*PAIR, "name_tok_idf_cos").withColumnRenamed("name_tok_idf_cos", "score")
+        return features.name_cosine(pairs, source1.select(*NAMED).unionByName(targets.select(*NAMED)))
+    table = features.all_features(pairs, source1.unionByName(targets, allowMissingColumns=True))
     return model.score(table.drop("score")).select(*PAIR, "score")
 
 
 def link(source1: DataFrame, targets: DataFrame, model=None, vectors: DataFrame | None = None, config: Config = Config()) -> DataFrame:
-    """(S1, candidate, score) matches of cleaned records, which are written once, as are the scored pairs."""
+    """(S1, candidate, score) matches of cleaned records, which are written once, as are the scored pairs. Without a model
+    only what blocking and names need of a record is written."""
+    if model is None:
+        source1, targets = source1.select(*NAMED, "address_normalized"), targets.select(*NAMED, "address_normalized")
     source1, targets = staged(source1, "source1"), staged(targets, "targets")
     pairs = candidate_pairs(source1, targets, vectors, config)
     return decide.expected_f_matches(staged(scored_pairs(pairs, source1, targets, model), "scored"), config.threshold)
