@@ -48,7 +48,7 @@ def link(source1: DataFrame, targets: DataFrame, model=None, vectors: DataFrame
     """(S1, candidate, score) matches of cleaned records, which are written once, as are the scored pairs. Without a model
     only what blocking and names need of a record is written."""
     if model is None:
-        source1, targets = source1.select(*NAMED, "address_normalized"), targets.select(*NAMED, "address_normalized")
+        source1, targets = (r.select(*NAMED, blocking.address_keys(r).alias("address_keys")) for r in (source1, targets))
     source1, targets = staged(source1, "source1"), staged(targets, "targets")
     pairs = candidate_pairs(source1, targets, vectors, config)
     return decide.expected_f_matches(staged(scored_pairs(pairs, source1, targets, model), "scored"), config.threshold)
