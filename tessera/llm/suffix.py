@@ -6,13 +6,15 @@ have equal windows, and equal windows have equal anchors, so only windows whose
 Consecutive windows with one anchor are a segment. Segments that occur again as a whole are repeated; of the rest, and of
 one copy of those, the suffixes are sorted by shards of anchor hashes.
 
-A shard is sorted by induced sorting on disk: suffixes whose first byte is greater than the next (or that precede one like
-it) are pushed, in the order of the suffix behind them, to a queue of their first byte, from the least byte to the
-greatest; then the others likewise in reverse. What is pushed is a tuple of a suffix and of its common prefix with the one
-pushed before it to that queue: one byte more than the least common prefix that was scanned between both. Neighbours in
-the order whose common prefix reaches a window's length hold the same window; no hash is trusted there. Queues are files
-read in blocks, and a shard's text, types, windows and marks are files too. The seeds, which start the first pass, are put
-in order by sorting their substrings the same way and then by doubling their names.
+Of a shard's parts only what lies between windows whose hashes occur again in the shard is sorted, as many parts share a
+gram and no window. A shard is sorted by induced sorting on disk: suffixes whose first byte is greater than the next (or
+that precede one like it) are pushed, in the order of the suffix behind them, to a queue of their first byte, from the
+least byte to the greatest; then the others likewise in reverse. What is pushed is a tuple of a suffix and of its common
+prefix with the one pushed before it to that queue: one byte more than the least common prefix that was scanned between
+both. Neighbours in the order whose common prefix reaches a window's length hold the same window; no hash is trusted
+there. Queues are files read in blocks (short ones stay in memory), and a shard's text, types, windows and marks are files
+too. The seeds, which start the first pass, are put in order by sorting their substrings the same way and then by doubling
+their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .common import IS_SPACE, arrow_bytes, bounded_batches, in_slices, mix64, re
 LENGTH, WORDS, GRAM = 400, 51, 96
 SLICE, PIECE = 50_000, 8_000_000
 BLOCK, STRETCH = 1 << 17, 1 << 20
+#: Tuples of a queue in memory; a shard has some 500 queues.
+HELD = 32768
 #: Bits of the filter of repeated anchors: BITS_EACH an anchor, MOST_BITS (16 MB) at most, which bounds its broadcast.
 BITS_EACH, MOST_BITS = 16, 2**27
 
@@ -195,7 +199,7 @@ def _cut(x, text, s0, s1, stop, has, begins, rest, least, most, shift, place, le
 
 class Queue:
     """Tuples of a position and, with a depth, its common prefix with the one put before it; in files, in the order in
-    which they are put."""
+    which they are put. Those of a queue that has less than HELD stay in memory."""
 
     def __init__(self, path: str, kind: type, carries: bool) -> None:
         self.paths, self.kinds = (path, f"{path}.prefix")[: 1 + carries], (kind, np.int16)
@@ -205,7 +209,7 @@ class Queue:
         self.held.append([v.astype(k) for v, k in zip(values, self.kinds)])
         self.held_n += len(values[0])
         self.n += len(values[0])
-        if self.held_n >= 8192:
+        if self.held_n >= HELD:
             self.flush()
 
     def flush(self) -> None:
@@ -216,6 +220,11 @@ class Queue:
             self.held, self.held_n = [], 0
 
     def get(self, start: int, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+        if self.held_n == self.n:  # nothing is in files
+            if len(self.held) > 1:
+                self.held = [[np.concatenate(parts) for parts in zip(*self.held)]]
+            found = [v[start : start + n] for v in self.held[0]]
+            return found[0].astype(np.int64), found[1].copy() if len(found) > 1 else None
         self.flush()
         found = [np.fromfile(p, k, n, offset=np.dtype(k).itemsize * start) for p, k in zip(self.paths, self.kinds)]
         return found[0].astype(np.int64), found[1] if len(found) > 1 else None
@@ -462,17 +471,46 @@ _LETTER = np.empty(256, np.uint16)
 _LETTER[np.r_[np.flatnonzero(IS_SPACE), np.flatnonzero(~IS_SPACE)]] = np.arange(1, 257)
 
 
+def _again(keys: np.ndarray) -> np.ndarray:
+    """Whether each of keys occurs more than once."""
+    order = np.sort(keys)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return np.zeros(len(keys), bool)
+    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
+
+
+def _parts(folder: str, begin: np.ndarray, size: np.ndarray) -> None:
+    """Leaves only the parts [begin, begin + size) of the files of a shard's letters and windows, each with a 0 behind it."""
+    for name, tail in (("text", 3), ("windows", 0)):
+        kind = np.uint16 if tail else np.int16
+        whole = np.asarray(np.memmap(f"{folder}/{name}", kind, "r"))
+        with open(f"{folder}/{name}.parts", "wb") as f:
+            f.write(np.zeros(1, kind).tobytes())
+            for a, b in in_slices((size + 1).tolist(), STRETCH):
+                ends = np.cumsum(size[a:b] + 1)
+                of = np.repeat(begin[a:b] - np.r_[0, ends[:-1]], size[a:b] + 1)
+                of += np.arange(len(of))
+                out = whole[of]
+                out[ends - 1] = 0
+                f.write(out.tobytes())
+            f.write(np.zeros(tail, kind).tobytes())
+        del whole
+        os.replace(f"{folder}/{name}.parts", f"{folder}/{name}")
+
+
 def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each of the pieces (bytes, number of windows, whether a word begins at the first, document, whether several
     documents hold it): the places at which a string of `length` bytes starts that starts elsewhere too; and whether a
     window at which a word begins is held by another document.
 
-    Sorting holds arrays of the seeds (every third byte of the text or so) in memory, some 30 bytes a byte of the text as
+    Pieces meet by one gram; most that have it in common differ around it. What is sorted of a piece is from its first to
+    its last window whose hash occurs again in the shard, so that equal windows are never parted. Sorting holds arrays of the seeds (every third byte of the text or so) in memory, some 30 bytes a byte of the text as
     measured; all else is in files.
     """
     folder = tempfile.mkdtemp(prefix="suffix-")
     try:
-        offsets, document, many = [1], [], []
+        offsets, document, many, keys, places = [1], [], [], [], []
         with open(f"{folder}/text", "wb") as text, open(f"{folder}/windows", "wb") as own:
             text.write(np.zeros(1, np.uint16).tobytes())
             own.write(np.zeros(1, np.int16).tobytes())
@@ -481,13 +519,22 @@ def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarra
             def write() -> None:
                 x, off = np.frombuffer(b"".join(h[0] for h in held), np.uint8), np.cumsum([0, *(len(h[0]) for h in held)])
                 wide = np.zeros(len(x), np.int16)
-                if words and len(x):
+                if len(x):
+                    hashes = Hashes(x, _LUT[0])
                     end, word = windows(x, off, length, words)
                     of = np.repeat(np.arange(len(held)), np.diff(off))
-                    far = np.arange(len(x)) - off[of]
-                    n, begins = np.array([h[1] for h in held])[of], np.array([h[2] for h in held], bool)[of]
-                    at = np.flatnonzero(word & (end > 0) & (far < n) & ((far > 0) | begins))
-                    wide[at] = end[at] - at
+                    if words:
+                        far = np.arange(len(x)) - off[of]
+                        n, begins = np.array([h[1] for h in held])[of], np.array([h[2] for h in held], bool)[of]
+                        at = np.flatnonzero(word & (end > 0) & (far < n) & ((far > 0) | begins))
+                        wide[at] = end[at] - at
+                    # strings of `length` bytes and the shorter ones of these windows
+                    upon = np.arange(len(x)) + length
+                    upon = np.where(upon <= off[of + 1], upon, 0)
+                    for ends in (upon, np.where((wide > 0) & (wide < length), end, 0)):
+                        at = np.flatnonzero(ends)
+                        keys.append(hashes.of(at, ends[at]))
+                        places.append((at + of[at]).astype(np.int64) + offsets[-1])
                 ends = off[1:]  # a zero goes behind each piece
                 text.write(np.insert(_LETTER[x], ends, 0).tobytes())
                 own.write(np.insert(wide, ends, 0).tobytes())
@@ -506,10 +553,23 @@ def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarra
             if held:
                 write()
             text.write(b"\0" * 6)
-        if not document:
-            return [], np.zeros(0, bool)
-        t, wide = (np.asarray(np.memmap(f"{folder}/{n}", k, "r")) for n, k in (("text", np.uint16), ("windows", np.int16)))  # plain views: slices cost less
+        held_by = np.zeros(len(document), bool)
+        starts = [np.zeros(0, np.int64)] * len(document)
+        if not keys:
+            return starts, held_by
         offsets, document, many = np.array(offsets), np.array(document, np.int64), np.array(many, bool)
+        at = np.sort(np.concatenate(places)[_again(np.concatenate(keys))])
+        del keys, places
+        if not len(at):
+            return starts, held_by
+        live = np.searchsorted(offsets, at, side="right") - 1
+        new = np.flatnonzero(np.diff(live, prepend=-1))
+        live, begin, last = live[new], at[new], at[np.r_[new[1:], len(at)] - 1]
+        first = begin - offsets[live]
+        size = np.minimum(last + length, offsets[live + 1] - 1) - begin
+        _parts(folder, begin, size)
+        offsets, document, many = np.cumsum(np.r_[1, size + 1]), document[live], many[live]
+        t, wide = (np.asarray(np.memmap(f"{folder}/{n}", k, "r")) for n, k in (("text", np.uint16), ("windows", np.int16)))  # plain views: slices cost less
         mark = np.asarray(np.lib.format.open_memmap(f"{folder}/marks.npy", "w+", bool, (len(t),)))
         shared = np.zeros(len(document), bool)
         before, last, low = -1, -1, 0  # the suffix before, the last one with a window of its own, the least prefix since
@@ -532,7 +592,10 @@ def _shard(pieces, length: int, words: int) -> tuple[list[np.ndarray], np.ndarra
             other = (document[a] != document[b]) | many[a] | many[b]
             shared[a[other]] = shared[b[other]] = True
             last, low = int(q[-1]), int(prefix[at[-1] + 1 :].min(initial=length))
-        return [np.flatnonzero(mark[s : e - 1]) for s, e in zip(offsets[:-1], offsets[1:])], shared
+        held_by[live] = shared
+        for i, skipped, s, e in zip(live.tolist(), first.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            starts[i] = skipped + np.flatnonzero(mark[s : e - 1])
+        return starts, held_by
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 

@@ -571,6 +571,34 @@ def passages_brute(rows, length, words):
     return [any(len(where[w]) > 1 for w in own) for own in of]
 
 
+def test_a_shard_sorts_only_what_recurs(monkeypatch, tmp_path):
+    """Pieces that share a gram and no window are not sorted; of others, what lies between their windows that recur is."""
+    rng = random.Random(27)
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    gram, shared = text(100), text(450)
+    texts = [text(200) + gram + text(200) for _ in range(20)] + [text(300) + shared + text(300) for _ in range(2)] + [text(10), b"", gram]
+    sorted_letters, order = [], suffix.suffix_order
+
+    def counted(t, *rest):
+        sorted_letters.append(int((t > 0).sum()))
+        return order(t, *rest)
+
+    monkeypatch.setattr(suffix, "suffix_order", counted)
+    found = [x.tolist() for x in suffix.repeated_starts(iter(texts), 400)]
+    assert sorted_letters == [2 * 450]
+    assert found == [[]] * 20 + [list(range(300, 351))] * 2 + [[]] * 3
+    assert [x.tolist() for x in suffix.repeated_starts(iter(texts[:20]), 400)] == [[]] * 20
+    # passages at which a word begins, shorter than the strings; a queue in files and in memory
+    rows = [prose(rng, 60).encode() for _ in range(8)]
+    middle = prose(rng, 55).encode()
+    pieces = [(r + b" " + middle + b" " + r[:50], len(r) + len(middle), True, i, False) for i, r in enumerate(rows)] + [(rows[0][:300], 300, True, 9, False)]
+    kept = suffix._shard(iter(pieces), 400, 51)
+    monkeypatch.setattr(suffix, "HELD", 7)
+    again = suffix._shard(iter(pieces), 400, 51)
+    assert kept[1].tolist() == again[1].tolist() == passages_brute([(d, x) for x, _, _, d, _ in pieces], 400, 51)
+    assert [a.tolist() for a in kept[0]] == [a.tolist() for a in again[0]]
+
+
 def test_without_repeats(spark, monkeypatch):
     rng = random.Random(15)
     passage, other = prose(rng, 30), prose(rng, 25)
