@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.keys import S1
-from tessera.plans import models
+from tessera.plans import catalog, models
 
 from test_io_and_models import table
 
@@ -30,3 +30,10 @@ def test_pairs_are_computed_once_and_results_are_those_of_each_country(spark, mo
         want = [m.filter("country = 'ALL'").first()["macro_f05"] for m in (models.evaluate(model.score(own), there, threshold)[1], models.evaluate(model.score(own), there)[1])]
         assert [r["threshold"], r["transferred"], r["own"]] == pytest.approx([threshold, *want], abs=1e-12)
     assert [r["country"] for r in got] == ["0", "1"]
+
+
+def test_the_query_trains_all_rounds(spark, monkeypatch):
+    asked, boosted = [], models.boosted
+    monkeypatch.setattr(models, "boosted", lambda **options: (asked.append(boosted(**options).getMaxIter()), boosted(rounds=1))[1])
+    assert catalog.QUERIES["loco"](spark, "/root/testdata/sf0.001").count() == 3
+    assert asked == [boosted().getMaxIter()] * 3 == [40] * 3
